@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import bounded_broadcast, drop_table, materialize
 
+#: Rows of a group that one tile compares with as many.
+TILE = 1024
+
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): the smallest node reachable.
@@ -37,41 +42,58 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.select(F.col("v").alias("node"), F.col("u").alias("component")).union(ends)
 
 
-def linked_components(keys: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """(node, component) of the rows of keys (key, id) that verified links join; rows without a link are absent.
+def candidate_groups(keys: DataFrame) -> DataFrame:
+    """(id, grp, chunk, chunks): ids of keys (key, id) that share keys, directly or through others, by group; lone ids are absent.
 
-    Two ids are candidates if they share a key. verify takes distinct pairs (a, b), a < b, and returns those
-    that link. A group of g ids under one key is not expanded into pairs: its most shared member is compared
-    with all others, and only where a group still holds several components do further members follow, twice
-    as many each round, each compared with members of other components only. So no link between components
-    is lost, while a group of near copies costs about g comparisons.
+    A key's smallest id stands for it, so g ids under a key give g - 1 edges and no pairs. Groups of more than TILE ids are cut into
+    chunks.
     """
-    groups = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("n > 1 and lo <> hi"), "groups")
-    many = groups.where("n > 2").select("key")
-    shared = materialize(keys.join(bounded_broadcast(many, many.count(), 24), "key").select("key", "id").distinct(), "shared")
-    degree = shared.groupBy("id").agg(F.count(F.lit(1)).alias("degree"))
-    order = Window.partitionBy("key").orderBy(F.desc("degree"), "id")
-    ranked = materialize(shared.join(degree, "id").select("key", "id", F.row_number().over(order).alias("rank")), "ranked")
-    drop_table(shared)
-    star = ranked.where("rank = 1").select("key", F.col("id").alias("pivot")).join(ranked.where("rank > 1"), "key").select("pivot", "id")
-    pairs = groups.where("n = 2").select(F.col("lo").alias("pivot"), F.col("hi").alias("id")).union(star)
-    edges = materialize(verify(materialize(_unordered(pairs), "pairs")), "links")
-    components = materialize(connected_components(edges), "components")
-    first, last = 2, 3
-    while True:
-        labelled = ranked.join(components.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "rank", F.coalesce("component", "id").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("rank").alias("n")).where(f"lo <> hi and n > {first}")
-        active = materialize(labelled.join(mixed.select("key"), "key"), "active")
-        if active.isEmpty():
-            break
-        pivots = active.where(f"rank between {first} and {last}").select("key", F.col("id").alias("pivot"), F.col("rank").alias("at"), F.col("component").alias("of"))
-        pairs = materialize(_unordered(pivots.join(active, "key").where("rank > at and component <> of").select("pivot", "id")), "pairs")
-        edges = materialize(edges.union(verify(pairs)), "links")
-        components = materialize(connected_components(edges), "components")
-        drop_table(active)
-        first, last = last + 1, 2 * last + 1
-    return components
+    groups = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), "groups")
+    many = groups.where("n > 2").select("key", "lo")
+    star = keys.join(bounded_broadcast(many, many.count(), 32), "key").select(F.col("lo").alias("a"), F.col("id").alias("b"))
+    edges = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(star)
+    of = materialize(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp")), "candidates")
+    large = materialize(of.groupBy("grp").count().where(F.col("count") > TILE).select("grp", F.ceil(F.col("count") / TILE).cast("int").alias("chunks")), "large")
+    dealt = of.join(bounded_broadcast(large, large.count(), 24), "grp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return dealt.select("id", "grp", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks")
+
 
+def linked_components(members: DataFrame, links: Callable[[pa.Table, pa.Table | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """(node, component) of the rows of members (id, grp, chunk, chunks, others) that links join; rows without a link are absent.
+
+    Each pair of chunks of a group meets in one tile. links gets the rows of one chunk and those of another, or None for pairs within
+    the first, and returns positions of linking pairs, in both or in the first alone; it may leave out pairs that others of
+    its own join. A tile gives each linked row its smallest partner reachable, never the pairs.
+    """
+    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least("chunk", x).alias("i"), F.greatest("chunk", x).alias("j"))))
+    dealt = members.withColumn("tile", meet).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile", "chunks")
 
-def _unordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("pivot <> id").select(F.least("pivot", "id").alias("a"), F.greatest("pivot", "id").alias("b")).distinct()
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        chunk, i, j = table.column("chunk").to_numpy(), key[1].as_py(), key[2].as_py()
+        left = table if i == j else table.filter(pa.array(chunk == i))
+        right = None if i == j else table.filter(pa.array(chunk == j))
+        a, b = links(left, right)
+        ids = left.column("id").to_numpy()
+        ends = np.concatenate((ids[a], (ids if right is None else right.column("id").to_numpy())[b]))
+        nodes, at = np.unique(ends, return_inverse=True)
+        label = smallest_reachable(len(nodes), at[: len(a)], at[len(a) :])
+        return pa.table([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], ["a", "b"])
+
+    return connected_components(dealt.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long"))
+
+
+def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 joined by edges a, b: the smallest node that each reaches."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        least = label.copy()
+        np.minimum.at(least, a, low)
+        np.minimum.at(least, b, low)
+        np.minimum.at(least, label[a], low)
+        np.minimum.at(least, label[b], low)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    return label

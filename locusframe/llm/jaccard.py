@@ -20,46 +20,61 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import bounded_broadcast, documents, drop_table, materialize
-from locusframe.llm.components import linked_components
+from locusframe.llm.common import bounded_broadcast, documents, materialize
+from locusframe.llm.components import candidate_groups, linked_components
 
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.3
+#: Columns of the incidence matrix multiplied at a time.
+_COLUMNS = 4096
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
-class _Words(dict):
-    """Hashes of words, remembered up to a bound."""
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * _B
+    return h ^ (h >> np.uint64(31))
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
-            self[word] = h
-        return h
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOWER = np.arange(1, 257, dtype=np.uint64)  # a byte's value and one, A-Z as a-z
+_LOWER[0x41:0x5B] += np.uint64(0x20)
 
-_hash_of = _Words().__getitem__
 
+@cache
+def _weights(n: int) -> np.ndarray:
+    return _mix(np.arange(1, n + 1, dtype=np.uint64) * _A) | np.uint64(1)
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * _B
-    return h ^ (h >> np.uint64(31))
 
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of the whole text: runs without ASCII white space, A-Z in lower case; none for null.
 
-def shingle_hashes(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the k-word shingles of the whole text, A-Z in lower case, words apart at ASCII
-    white space. Fewer than k words are one shingle; no words, or null, none.
+    A word's hash is the sum of its bytes, each times a number that depends on its place in the word.
     """
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
+    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+    at = np.flatnonzero(~_BLANK[raw])
+    if not len(at):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_hash_of, words), np.uint64, len(words))
+    first = np.flatnonzero(np.concatenate(([True], at[1:] - at[:-1] > 1)))
+    sizes = np.diff(np.append(first, len(at)))
+    place = np.arange(len(at)) - np.repeat(first, sizes)
+    longest = int(sizes.max())
+    return _mix(np.add.reduceat(_LOWER[raw[at]] * _weights(1 << max(8, (longest - 1).bit_length()))[place], first) + sizes.astype(np.uint64))
+
+
+def shingle_hashes(text: str | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the k-word shingles of the whole text. Fewer than k words are one shingle; no words, or null, none."""
+    w = word_hashes(text)
+    if not len(w):
+        return w
     n = min(k, len(w))
     h = np.full(len(w) - n + 1, n, np.uint64)
     for i in range(n):
         h = (h ^ w[i : i + len(h)]) * _A
         h ^= h >> np.uint64(32)
-    return np.unique(_mix(h))
+    h = _mix(h)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
 
 
 @cache
@@ -130,6 +145,41 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(scan, "set_id long, hashes array<long>")
 
 
+def _product(left: pa.Table, right: pa.Table | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of linking pairs: the product of the two chunks' incidence matrices, added up over blocks of columns."""
+
+    def flat(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        lists = t.column("hashes").combine_chunks()
+        sizes = np.diff(lists.offsets.to_numpy())
+        return lists.flatten().to_numpy(), sizes
+
+    (x, nx), (y, ny) = flat(left), flat(left if right is None else right)
+    columns, where, seen = np.unique(x if right is None else np.concatenate((x, y)), return_inverse=True, return_counts=True)
+    number = np.cumsum(seen > 1) - 1  # columns with one entry add nothing
+    row_x, row_y = np.repeat(np.arange(len(nx)), nx), np.repeat(np.arange(len(ny)), ny)
+    at_x, at_y = where[: len(x)], where[:len(x)] if right is None else where[len(x) :]
+    keep_x, keep_y = seen[at_x] > 1, seen[at_y] > 1
+    row_x, col_x, row_y, col_y = row_x[keep_x], number[at_x[keep_x]], row_y[keep_y], number[at_y[keep_y]]
+    order_x, order_y = np.argsort(col_x, kind="stable"), np.argsort(col_y, kind="stable")
+    row_x, col_x, row_y, col_y = row_x[order_x], col_x[order_x], row_y[order_y], col_y[order_y]
+    overlap = np.zeros((len(nx), len(ny)), np.float32)
+    for begin in range(0, int(number[-1]) + 1 if len(number) else 0, _COLUMNS):
+        a, b = (slice(*np.searchsorted(c, (begin, begin + _COLUMNS))) for c in (col_x, col_y))
+        width = min(_COLUMNS, int(number[-1]) + 1 - begin)
+        u, v = np.zeros((len(nx), width), np.float32), np.zeros((len(ny), width), np.float32)
+        u[row_x[a], col_x[a] - begin] = 1
+        v[row_y[b], col_y[b] - begin] = 1
+        overlap += u @ v.T
+    # 100 * overlap >= percent * (sum - overlap)
+    least = (nx[:, None] + ny[None, :]).astype(np.float64) * percent / (100 + percent)
+    i, j = np.nonzero(overlap >= least - 1e-6)
+    keep = i < j if right is None else np.ones(len(i), bool)
+    i, j = i[keep], j[keep]
+    both = overlap[i, j].astype(np.int64)
+    exact = 100 * both >= percent * (nx[i] + ny[j] - both)
+    return i[exact], j[exact]
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, mark, n_shingles, component_id) for every row of docs (doc_id, text, others), mark a hash of its text.
 
@@ -143,21 +193,13 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     filled = rows.where("set_id is not null")
     sets = materialize(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "sets")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-        ids = materialize(ids.join(sets.select("set_id", "doc_id"), "set_id").select("set_id", "doc_id"), "wanted")
-        n = ids.count()
-        texts = docs.join(bounded_broadcast(ids.select("doc_id").distinct(), n, 16), "doc_id").select("text")
-        full = materialize(_sets(texts, k).join(bounded_broadcast(ids.select("set_id"), n, 16), "set_id"), "incidence")
-        left, right = (full.select(F.col("set_id").alias(x), F.col("hashes").alias(f"{x}_hashes")) for x in "ab")
-        both = pairs.join(left, "a").join(right, "b")
-        counted = both.select("a", "b", F.size(F.array_intersect("a_hashes", "b_hashes")).alias("i"), (F.size("a_hashes") + F.size("b_hashes")).alias("sum"))
-        edges = materialize(counted.where(f"100L * i >= {percent}L * (sum - i)").select("a", "b").distinct(), "edges")
-        drop_table(full)
-        return edges
-
+    grouped = materialize(candidate_groups(sets.select(F.explode("keys").alias("key"), F.col("set_id").alias("id"))), "grouped")
+    n = grouped.count()
+    wanted = materialize(sets.select("set_id", "doc_id").join(grouped.select(F.col("id").alias("set_id")), "set_id"), "wanted")
+    texts = docs.join(bounded_broadcast(wanted.select("doc_id").distinct(), n, 16), "doc_id").select("text")
+    members = _sets(texts, k).join(bounded_broadcast(grouped, n, 32), F.col("set_id") == F.col("id")).select("id", "grp", "chunk", "chunks", "hashes")
+    linked = linked_components(members, lambda left, right: _product(left, right, percent))
     bound = sets.select("set_id", "doc_id")
-    linked = linked_components(sets.select(F.explode("keys").alias("key"), F.col("set_id").alias("id")), verify)
     of = bound.join(linked.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "doc_id", F.coalesce("component", "set_id").alias("component"))
     least = of.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of = of.join(least, "component").select("set_id", "component_id")
