@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from locusframe.llm import decontaminate, jaccard, langid, mixing, sharding
+from locusframe.llm import decontaminate, embeddings, html_text, jaccard, langid, line_dedup, mixing, secrets, sharding, warc
 
-_MODULES = (decontaminate, langid, mixing, jaccard, sharding)
+_MODULES = (decontaminate, secrets, warc, line_dedup, langid, mixing, html_text, embeddings, jaccard, sharding)
 QUERIES = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: q for m in _MODULES for k, q in m.ORACLES.items()}
