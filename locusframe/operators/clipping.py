@@ -105,7 +105,7 @@ def revert_soft(elements: Elements) -> Elements:
     return build([(n, "M" if op == "S" else op) for n, op in elements])
 
 
-def _rewrite(reads: DataFrame, bounds: Callable[[pd.DataFrame], list[tuple[int, int] | None]], how: str, needed: list[str] = []) -> DataFrame:
+def _rewrite(reads: DataFrame, bounds: Callable[[pd.DataFrame], list[tuple[int, int] | None]], how: str) -> DataFrame:
     """Applies one clip a read: bounds gives the read bases to clip, start and end exclusive, or None."""
     schema = reads.schema
 
@@ -113,6 +113,7 @@ def _rewrite(reads: DataFrame, bounds: Callable[[pd.DataFrame], list[tuple[int,
         for pdf in batches:
             rows = []
             for row, span in zip(pdf.to_dict("records"), bounds(pdf)):
+                row = {**row, "tags": dict(_pairs(row["tags"]))}
                 rows.append(row if span is None or span[0] >= span[1] else _apply(row, *span, how))
             yield pd.DataFrame(rows, columns=pdf.columns)
 
@@ -141,7 +142,7 @@ def _apply(row: dict, start: int, end: int, how: str) -> dict:
         new, shift = clip(elements, start, end, "S"), start_shift(elements, end) if start == 0 else 0
         return {**row, "cigar": text(new), "start": row["start"] + shift}
     if start == 0 and end >= n:
-        return {**row, "bases": "", "quals": [], "cigar": "*", "start": 0, "ref_idx": -1, "contig": None, "mapq": 0, "flags": int(row["flags"]) | 4, "tags": [(k, v) for k, v in _pairs(row["tags"]) if k == "RG"]}
+        return {**row, "bases": "", "quals": [], "cigar": "*", "start": 0, "ref_idx": -1, "contig": None, "mapq": 0, "flags": int(row["flags"]) | 4, "tags": {k: v for k, v in _pairs(row["tags"]) if k == "RG"}}
     new, shift = clip(elements, start, end, "H"), start_shift(elements, end) if start == 0 else 0
     return {**row, "bases": bases[:start] + bases[end:], "quals": quals[:start] + quals[end:], "cigar": text(new), "start": row["start"] + shift}
 
