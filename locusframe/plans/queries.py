@@ -332,7 +332,7 @@ _annotation("CountNs", "select site, count(*) filter (where base = 'N') as ncoun
 
 
 def _median(value: str, name: str, empty: int, first: int = 0) -> str:
-    return f"select site, allele, coalesce({name}, {empty}) as {name} from (select distinct site, unnest(generate_series({first}, 2)) as allele from ev) s left join (select site, best as allele, cast(floor(quantile_cont({value}, 0.5) + 0.5) as int) as {name} from u group by 1, 2) m using (site, allele)"
+    return f"select site, allele, coalesce({name}, {empty}) as {name} from (select distinct site, cast(unnest(generate_series({first}, 2)) as int) as allele from ev) s left join (select site, best as allele, cast(floor(quantile_cont({value}, 0.5) + 0.5) as int) as {name} from u group by 1, 2) m using (site, allele)"
 
 
 _annotation("BaseQuality", _median("qual", "mbq", 0))
@@ -580,7 +580,7 @@ def unmark(spark, sf_dir):
     return tools.unmark_duplicates(fx.reads(spark, sf_dir)).groupBy("flags").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tool_fix_misencoded", f"{_READS} select contig, cast(sum((q0 + 3) + 0) as bigint) as first_sum from r where n_quals > 0 group by contig")
+@query("tool_fix_misencoded", f"{_READS} select contig, cast(sum(q0 % 41 + 3) as bigint) as first_sum from r where n_quals > 0 group by contig")
 def fix_misencoded(spark, sf_dir):
     raised = fx.reads(spark, sf_dir).where("size(quals) > 0").withColumn("quals", F.transform("quals", lambda q: q + 34))
     return tools.fix_misencoded_qualities(raised).groupBy("contig").agg(F.sum(F.get("quals", F.lit(0))).alias("first_sum"))
