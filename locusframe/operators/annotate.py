@@ -463,7 +463,7 @@ def variant_type(sites: DataFrame) -> DataFrame:
     alt = F.get("alts", F.lit(0))
     length = F.length(alt) - F.length("ref")
     kind = F.when(length == 0, "snp").when(_hmer_length() > 0, "h-indel").otherwise("non-h-indel")
-    return sites.select("site", kind.alias("variant_type"), F.when(length > 0, "ins").when(length < 0, "del").alias("indel_classify"), F.when(length != 0, F.abs(length)).alias("indel_length"))
+    return sites.select("site", kind.alias("variant_type"), F.when(length > 0, "ins").when(length < 0, "del").alias("indel_classify"), F.abs(length).alias("indel_length"))
 
 
 def _hmer_length() -> Column:

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from locusframe.functions import scalar
 from locusframe.functions.expression import compile_predicate
-from locusframe.operators import annotate, filters, intervals, likelihood, pileup, regions, sample, stats
+from locusframe.operators import annotate, clipping, filters, intervals, likelihood, pileup, regions, sample, stats
 from locusframe.operators import reads as rd
 from locusframe.plans import fixtures as fx
 from locusframe.plans import tools
+from locusframe.sources import formats
 from locusframe.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -241,6 +242,37 @@ def flagship(spark, sf_dir):
     return held.groupBy("contig").agg(F.count(F.lit(1)).alias("n_reads"), F.round(stats.rms(F.sum(F.when(known, F.col("mapq") * F.col("mapq"))), F.count_if(known)), 6).alias("rms_mapq"))
 
 
+@query("reads_coordinates", f"""{_READS} select contig, cast(sum(end_pos) as bigint) as ends, cast(sum(start_pos - {_sum('S', "regexp_extract(cigar, '^([0-9]+[SH])*')")}) as bigint) as soft_starts, cast(sum(end_pos + {_sum('S', "regexp_extract(cigar, '([0-9]+[SH])*$')")}) as bigint) as soft_ends,
+ cast(sum(start_pos - {_sum('SH', "regexp_extract(cigar, '^([0-9]+[SH])*')")}) as bigint) as unclipped_starts, cast(sum(end_pos + {_sum('SH', "regexp_extract(cigar, '([0-9]+[SH])*$')")}) as bigint) as unclipped_ends from r group by contig""")
+def coordinates(spark, sf_dir):
+    columns = {"ends": rd.end(), "soft_starts": rd.soft_start(), "soft_ends": rd.soft_end(), "unclipped_starts": rd.unclipped_start(), "unclipped_ends": rd.unclipped_end()}
+    return fx.reads(spark, sf_dir).groupBy("contig").agg(*[F.sum(c).alias(n) for n, c in columns.items()])
+
+
+_FRAGMENT = "isize <> 0 and pr and not um and not mum and rv <> mrv and case when rv then end_pos > mate_start else start_pos <= mate_start + isize end"
+
+
+@query("reads_adaptor_boundary", f"{_READS} select contig, count(*) filter (where f) as n_known, cast(coalesce(sum(case when f then case when rv then mate_start - 1 else start_pos + abs(isize) end end), 0) as bigint) as boundaries from (select *, {_FRAGMENT} as f from r) t group by contig")
+def adaptor_boundary(spark, sf_dir):
+    return fx.reads(spark, sf_dir).select("contig", rd.adaptor_boundary().alias("b")).groupBy("contig").agg(F.count("b").alias("n_known"), F.coalesce(F.sum("b"), F.lit(0)).alias("boundaries"))
+
+
+@query("reads_reverse_complement", f"{_READS} select contig, count(distinct reverse(translate(bases, 'ACGTacgt', 'TGCAtgca'))) as n_distinct, max(reverse(translate(bases, 'ACGTacgt', 'TGCAtgca'))) as last_one from r group by contig")
+def reverse_complement(spark, sf_dir):
+    return fx.reads(spark, sf_dir).select("contig", rd.reverse_complement("bases").alias("b")).groupBy("contig").agg(F.count_distinct("b").alias("n_distinct"), F.max("b").alias("last_one"))
+
+
+@query("reads_unmapped_tail", f"{_READS} select count(*) as n from r where ref_idx = -1")
+def unmapped_tail(spark, sf_dir):
+    return formats.unmapped_tail(fx.reads(spark, sf_dir)).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("clip_low_quality_ends")
+def clip_low_quality(spark, sf_dir):
+    r = fx.reads(spark, sf_dir).where(filters.good_cigar() & filters.mapped() & filters.read_length_equals_cigar_length() & filters.matching_bases_and_quals())
+    return clipping.low_quality_ends(r, 5).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bases")).alias("bases"), F.sum("start").alias("starts"))
+
+
 # --- pileup: reads whose cigars the SQL side can walk without order
 
 _PLAIN = "not um and (flags & 1536) = 0 and n = 50 and n_quals = 50 and cigar in ('50M', '5S45M', '20M4D30M')"
@@ -511,6 +543,11 @@ def flow_gc(spark, sf_dir):
     return annotate.gc_content(_sites(spark, sf_dir)).withColumn("gc_content", F.round("gc_content", 6))
 
 
+_INS = "(site % 3 = 0)"
+_RUN = "length(after) - length(ltrim(replace(after, left(after, 1), ' ')))"
+_ONE = "left(after, 1) = substr(after, 2, 1)"
+ORACLES["annotation_FlowVariantType"] = f"select site, case when not {_INS} then 'snp' when {_ONE} then 'h-indel' else 'non-h-indel' end as variant_type, case when {_INS} then 'ins' end as indel_classify, case when {_INS} then 2 else 0 end as indel_length from ({_SITES}) t"
+ORACLES["annotation_FlowHmerIndel"] = f"select site, cast(case when {_ONE} then {_RUN} else 0 end as int) as hmer_indel_length, case when {_ONE} then left(after, 1) end as hmer_indel_nuc from ({_SITES}) t where {_INS}"
 for _n in ("FlowVariantType", "FlowHmerIndel", "FlowCycleSkip", "TandemRepeat"):
     query(f"annotation_{_n}")(lambda spark, sf_dir, name=_n: annotate.REGISTRY[name](_sites(spark, sf_dir)))
 

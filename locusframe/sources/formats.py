@@ -43,6 +43,33 @@ def read_interval_lines(spark: SparkSession, path: str, contigs: DataFrame) -> D
     return intervals.parse_text(lines, contigs)
 
 
+def load_intervals(spark: SparkSession, arguments: list[str], contigs: DataFrame) -> DataFrame:
+    """(contig, start, end) of interval arguments: literals, or files by their endings. A literal without an interval raises ValueError."""
+    readers = {".bed": read_bed, ".vcf": read_vcf, ".interval_list": read_interval_list, ".list": None, ".intervals": None}
+    out, literals = [], []
+    for a in arguments:
+        ending = next((e for e in readers if a.endswith(e)), None)
+        if ending is None:
+            literals.append((a,))
+        else:
+            found = readers[ending](spark, a) if readers[ending] else read_interval_lines(spark, a, contigs)
+            out.append(found.select("contig", "start", "end"))
+    if literals:
+        parsed = intervals.parse_text(spark.createDataFrame(literals, "text string"), contigs)
+        for r in parsed.where("reason is not null").collect():
+            raise ValueError(f"{r['text']}: {r['reason']}")
+        out.append(parsed.select("contig", "start", "end"))
+    return intervals.union(*out)
+
+
+def program_record(known: list[str], name: str, version: str, command: str) -> dict[str, str]:
+    """Header entry of a run: an id that no known one has (with .1, .2 and so on if need be), then version and command line."""
+    n, taken = 0, set(known)
+    while (own := name if not n else f"{name}.{n}") in taken:
+        n += 1
+    return {"ID": own, "VN": version, "CL": command, "PN": name}
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """(contig, line, bases): sequence lines numbered within their contig, upper-case with ambiguity codes as N.
 

@@ -303,6 +303,11 @@ def test_formats(spark, tmp_path, contigs):
     assert [tuple(r) for r in formats.read_bed(spark, str(tmp_path / "x.bed")).collect()] == [("chr1", 1, 10, "n"), ("chr2", 6, 6, None)]
     (tmp_path / "x.vcf").write_text("##v\n#CHROM\nchr1\t10\tid\tACG\tA,T\t50\tPASS\tDP=3\nchr1\t20\t.\tA\t<DEL>\t.\t.\tEND=40\n")
     assert [(r.start, r.end, r.qual) for r in formats.read_vcf(spark, str(tmp_path / "x.vcf")).collect()] == [(10, 12, 50.0), (20, 40, None)]
+    got = formats.load_intervals(spark, [str(tmp_path / "x.bed"), "chr1:5-9"], contigs).collect()
+    assert sorted(tuple(r) for r in got) == [("chr1", 1, 10), ("chr1", 5, 9), ("chr2", 6, 6)]
+    with pytest.raises(ValueError, match="unknown"):
+        formats.load_intervals(spark, ["chrZ:1-2"], contigs)
+    assert formats.program_record(["t", "t.1"], "t", "1", "c")["ID"] == "t.2"
     (tmp_path / "x.fa").write_text(">chr1 d\nACGT\nacgr\n>chr2\nTT\n")
     fa = formats.read_fasta(spark, str(tmp_path / "x.fa"))
     assert formats.sequence(fa, "chr1", 3, 8) == "GTACGN"
