@@ -157,3 +157,21 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
 
 def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
+def test_shuffled_joins_agree_with_broadcast_ones(spark, monkeypatch):
+    """Beyond the broadcast bound the same rows come out."""
+    from locusframe.llm import common
+
+    rng = random.Random(21)
+    rows = [(i, t, "en", "s", "k", 1) for i, t in enumerate(_texts(rng))]
+    docs = spark.createDataFrame(rows, DOCS)
+    small = sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect()), key=repr)
+    lines = sorted(map(tuple, line_dedup.summary(docs).collect()), key=repr)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect()), key=repr) == small
+        assert sorted(map(tuple, line_dedup.summary(docs).collect()), key=repr) == lines
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
