@@ -3,8 +3,8 @@
 The n-gram universe is split by hash into K blocks of columns, K one more than the largest number of n-grams in
 which a linking pair of the size class may differ. A linking pair then has a block in which its two rows of the
 matrix are equal, so candidates are rows equal in a block; their overlap counts are added up over all blocks and
-held against the bound that the two sizes give. Passages that many documents share make no candidates, since
-a block mixes them with each document's own n-grams.
+held against the bound that the two sizes give. The same holds for any part of the universe, so n-grams of the most frequent
+lines are left out of the blocks of documents that have enough others.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ from locusframe.llm.components import candidate_groups, linked_components
 
 #: Ratio of neighbouring size classes.
 CLASS_RATIO = 1.3
+#: Lines in more documents than this are frequent, and so many of them at most, of so many characters, are left out of blocks.
+FREQUENT_LINE, FREQUENT_LINES, FREQUENT_CHARS = 16, 20_000, 2_000
 #: Columns of the incidence matrix multiplied at a time.
 _COLUMNS = 4096
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -97,20 +99,36 @@ def _blocks(c: int, percent: int) -> tuple[int, int]:
     return differ + 1 + spare, spare
 
 
-def block_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """A key for each block of columns and each size class whose members the set may link with; equal keys make candidates."""
+def _block_sums(hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The blocks that hold any of the sorted hashes, and a sum for each that tells its content."""
+    block = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
+    starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
+    return block[starts], np.add.reduceat(_mix(hashes * _C), starts)
+
+
+def block_keys(hashes: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """A key for each block of columns and each size class whose members the set may link with; equal keys make candidates.
+
+    Keys are made of what isn't frequent (sorted). Sets that leave more than the spare blocks empty get keys of all their hashes as well, and
+    if these leave too many empty, keys for the empty ones: two linking sets either share a filled block or both are of that kind.
+    """
     n, bounds, out = len(hashes), _class_bounds(), []
+    rare = hashes
+    if frequent is not None and len(frequent):
+        rare = hashes[frequent[np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)] != hashes]
     c = bisect_right(bounds, n) - 1
     while 100 * n >= percent * bounds[c]:
         k, spare = _blocks(c, percent)
         if k:
-            block = ((hashes >> np.uint64(32)) * np.uint64(k)) >> np.uint64(32)
-            starts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-            at, sums = block[starts], np.add.reduceat(_mix(hashes * _C), starts)
-            if k - len(starts) > spare:
-                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at, assume_unique=True)
-                at, sums = np.concatenate((at, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
-            out.append(_mix(sums + at * _A + np.uint64(c * int(_C) & (1 << 64) - 1)))
+            parts = [(0, *_block_sums(rare, k))] if len(rare) else []
+            if k - (len(parts[0][1]) if parts else 0) > spare:
+                at, sums = _block_sums(hashes, k)
+                if k - len(at) > spare:
+                    empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at, assume_unique=True)
+                    at, sums = np.concatenate((at, empty)), np.concatenate((sums, np.zeros(len(empty), np.uint64)))
+                parts.append((1, at, sums))
+            for kind, at, sums in parts:
+                out.append(_mix(sums + at * _A + np.uint64((2 * c + kind) * int(_C) & (1 << 64) - 1)))
         c += 1
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
@@ -123,15 +141,37 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.LargeListArray.from_arrays(np.cumsum([0, *map(len, arrays)]), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64))).cast(pa.list_(pa.int64()))
 
 
-def _rows(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, mark, n_shingles, set_id, keys) of docs (doc_id, mark, text)."""
+def _rows(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, mark, n_shingles, set_id) of docs (doc_id, mark, text)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingle_hashes(t.as_py(), k) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_hash, sets), pa.int64()), _lists([block_keys(s, percent) for s in sets])], ["doc_id", "mark", "n_shingles", "set_id", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(_set_hash, sets), pa.int64())], ["doc_id", "mark", "n_shingles", "set_id"])
+
+    return docs.mapInArrow(scan, "doc_id long, mark long, n_shingles long, set_id long")
+
+
+def _keys(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
+    """(key, id) of docs (text), id the set's hash; recomputed where it is used twice, since it is larger than the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [s for t in b.column(0) if len(s := shingle_hashes(t.as_py(), k))]
+            keys = [block_keys(s, percent, shared.value) for s in sets]
+            ids = np.repeat(np.array([_set_hash(s) for s in sets], np.int64), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *keys]).view(np.int64)), pa.array(ids)], ["key", "id"])
+
+    return docs.mapInArrow(scan, "key long, id long")
+
 
-    return docs.mapInArrow(scan, "doc_id long, mark long, n_shingles long, set_id long, keys array<long>")
+def frequent_hashes(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes of the shingles of the most frequent lines; a bounded set, of which any choice leaves the join exact."""
+    lines = docs.where("text is not null").select(F.explode(F.array_distinct(F.split("text", "\n"))).alias("line")).where(F.length("line").between(8, FREQUENT_CHARS))
+    often = lines.groupBy(F.xxhash64("line").alias("h")).agg(F.count(F.lit(1)).alias("n"), F.first("line").alias("line")).where(F.col("n") > FREQUENT_LINE)
+    texts = [r["line"] for r in often.orderBy(F.desc("n"), "h").limit(FREQUENT_LINES).select("line").collect()]
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *(shingle_hashes(t, k) for t in texts)]))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -189,11 +229,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     component_id is null. Repeated rows link with each other. Sets are told apart by 64-bit hashes.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), "text")
-    rows = materialize(_rows(docs, k, percent), "shingled")
-    filled = rows.where("set_id is not null")
-    sets = materialize(filled.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")), "sets")
+    rows = materialize(_rows(docs, k), "shingled")
+    sets = materialize(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "sets")
 
-    grouped = materialize(candidate_groups(sets.select(F.explode("keys").alias("key"), F.col("set_id").alias("id"))), "grouped")
+    grouped = materialize(candidate_groups(_keys(docs.select("text"), k, percent, frequent_hashes(docs, k))), "grouped")
     n = grouped.count()
     wanted = materialize(sets.select("set_id", "doc_id").join(grouped.select(F.col("id").alias("set_id")), "set_id"), "wanted")
     texts = docs.join(bounded_broadcast(wanted.select("doc_id").distinct(), n, 16), "doc_id").select("text")

@@ -62,7 +62,9 @@ def test_every_linking_pair_shares_a_block():
         b = np.unique(np.concatenate((a[int(rng.integers(0, most + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, most + 1)), dtype=np.int64).astype(np.uint64))))
         inter = len(np.intersect1d(a, b))
         if len(b) and 100 * inter >= percent * (len(a) + len(b) - inter) and not np.array_equal(a, b):
-            assert set(jaccard.block_keys(a, percent)) & set(jaccard.block_keys(b, percent))
+            for share in (0, 0.2, 0.7, 1):
+                frequent = np.sort(a[rng.random(len(a)) < share])
+                assert set(jaccard.block_keys(a, percent, frequent)) & set(jaccard.block_keys(b, percent, frequent))
 
 
 def test_jaccard_of_an_empty_table_and_repeated_rows(spark):
@@ -74,6 +76,17 @@ def test_jaccard_of_an_empty_table_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 3]
 
 
+def test_frequent_lines_change_no_result(spark, monkeypatch):
+    rng = random.Random(31)
+    line = " ".join(f"common{i}" for i in range(25))
+    rows = [(i, "\n".join([line, t or "", line]), "en", "s", "k", 1) for i, t in enumerate(_texts(rng))] + [(900, line, "en", "s", "k", 1), (901, line + " x", "en", "s", "k", 1)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert len(jaccard.frequent_hashes(docs, 3)) == 23
+    with_lines = sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect()))
+    monkeypatch.setattr(jaccard, "FREQUENT_LINES", 0)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect())) == with_lines
+
+
 def test_groups_beyond_a_tile_lose_no_link(spark, monkeypatch):
     monkeypatch.setattr(components, "TILE", 4)
     base = [f"w{i}" for i in range(60)]
