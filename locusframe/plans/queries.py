@@ -289,6 +289,11 @@ def _pile(spark, sf_dir):
     return pileup.elements(pileup.passing(r))
 
 
+def _pile_all(spark, sf_dir):
+    """Of every read but those that pileup.elements refuses; what has SQL keeps to _pile, whose cigars the SQL can walk."""
+    return pileup.elements(pileup.passing(fx.reads(spark, sf_dir).where(~pileup.ends_in_deletion())))
+
+
 @query("pileup_depth", f"{_PILE} select contig, pos, count(*) as depth from pile group by contig, pos")
 def depth(spark, sf_dir):
     return pileup.depth(_pile(spark, sf_dir))
@@ -316,7 +321,7 @@ def within_targets(spark, sf_dir):
 
 @query("pileup_pair_fix")
 def pair_fix(spark, sf_dir):
-    return pileup.fix_overlapping_pairs(_pile(spark, sf_dir)).groupBy("contig").agg(F.sum("qual").alias("qual_sum"), F.count_if(F.col("qual") == 0).alias("n_zero"))
+    return pileup.fix_overlapping_pairs(_pile_all(spark, sf_dir)).groupBy("contig").agg(F.sum("qual").alias("qual_sum"), F.count_if(F.col("qual") == 0).alias("n_zero"))
 
 
 # --- likelihoods and annotations
@@ -592,7 +597,7 @@ def leveling(spark, sf_dir):
 
 @query("region_band_pass")
 def band_pass(spark, sf_dir):
-    d = pileup.depth(_pile(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
+    d = pileup.depth(_pile_all(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
     return regions.band_pass(d, fx.contigs(spark)).withColumn("prob", F.round("prob", 9))
 
 
@@ -604,7 +609,7 @@ def region_runs(spark, sf_dir):
 
 @query("region_cut")
 def region_cut(spark, sf_dir):
-    d = pileup.depth(_pile(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
+    d = pileup.depth(_pile_all(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
     return regions.with_padding(regions.regions(regions.band_pass(d, fx.contigs(spark))), fx.contigs(spark))
 
 
