@@ -1,8 +1,9 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped to lines, one for each block. Text lengths are summed over sliding windows of lines; the text
-stands between the point where the sums surge and the point where they dive. Elements that hold menus,
-notices and the like, and the edges of an article, count as a window of empty lines, so that they end a surge.
+stands between the point where the sums surge and the point where they dive. The edges of an article, and elements that hold
+menus, notices and the like where they stand between containers, count as a window of empty lines, so that they end a surge. A surge is
+dropped if most of its text is links.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from locusframe.llm.common import documents
 
 #: Lines in a window.
 WINDOW = 3
-#: A surge without an article element is kept if its text is at least this share of the largest one's.
-SHARE = 0.25
+#: A surge is kept if at least this share of its text is outside links, as is the one with the most such text.
+UNLINKED = 0.5
+#: A surge of fewer characters is a separator, if there is any other.
+LEAST = 2
 
 # Element names of HTML and usual class names.
 _RAW = "script style textarea title noscript template svg math iframe object select canvas audio video head button"
@@ -36,7 +39,9 @@ _NAMES = (
     "|disqus|respond|replies|reply|login|signup|search|toolbar|pagination|pager|copyright|skip"
 )
 
-_RAW, _SKIPPED, _BLOCKS, _VOID = (frozenset(x.split()) for x in (_RAW, _SKIPPED, _BLOCKS, _VOID))
+_CONTAINERS = "body div main section table td"
+
+_RAW, _SKIPPED, _BLOCKS, _VOID, _CONTAINERS = (frozenset(x.split()) for x in (_RAW, _SKIPPED, _BLOCKS, _VOID, _CONTAINERS))
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _UNWANTED = re.compile(rf"(?:^|[\s_-])(?:{_NAMES}|complementary|contentinfo)(?:$|[\s_-])", re.I)
@@ -53,12 +58,13 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 def lines_of(page: str) -> list[tuple[str, int, int]]:
     """(text, characters outside links, article) for each block in page order; article counts from 1, 0 is outside of any.
 
-    An unwanted element, and an article's edge, gives WINDOW empty lines.
+    An article's edge gives WINDOW empty lines, as does an unwanted element unless the text goes on in the same container.
     """
     tokens = [(m.start(), m.end(), m[1], (m[2] or "").lower(), m[3] or "") for m in _TOKEN.finditer(page)]
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     article = articles = link = linked = pos = i = 0
+    removed = crossed = False  # since the last text: an unwanted element, a container's edge
 
     def add(text: str) -> None:
         nonlocal linked
@@ -67,8 +73,11 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
             linked += len(text) if link else 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, removed, crossed
         if text := " ".join(entities.unescape("".join(parts)).split()):
+            if removed and crossed:
+                out.extend([("", 0, 0)] * WINDOW)
+            removed = crossed = False
             out.append((text, max(0, len(text) - linked), article))
         parts.clear()
         linked = 0
@@ -111,7 +120,8 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         if tag == "br":
             add(" ")
         elif not close and tag not in _VOID and _unwanted(tag, attributes, bool(article)):
-            gap()
+            flush()
+            removed = True
             k = past(i - 1, tag)
             pos = (tokens[k - 1][1] if k and tokens[k - 1][2] and tokens[k - 1][3] == tag else tokens[k][0]) if k < len(tokens) else (tokens[-1][1] if tokens[-1][2] and tokens[-1][3] == tag else len(page))
             i = k
@@ -122,6 +132,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
                 article = 0 if close else articles
         elif tag in _BLOCKS:
             flush()
+            crossed = crossed or tag in _CONTAINERS
         elif tag == "a":
             link = 0 if close else 1
     add(page[pos:])
@@ -152,7 +163,12 @@ def extract(page: str | None) -> str:
         best = max(mass, key=lambda a: (mass[a], -a))
         return "\n".join(t for t, _, article in lines if article == best and t)
     most = max(sum(lengths[a:b]) for a, b in surges)
-    return "\n".join(t for a, b in surges if sum(lengths[a:b]) >= SHARE * most for t, _, _ in lines[a:b] if t)
+
+    def kept(a: int, b: int) -> bool:
+        total, free = sum(len(t) for t, _, _ in lines[a:b]), sum(lengths[a:b])
+        return free == most or (total >= LEAST and free >= UNLINKED * total)
+
+    return "\n".join(t for a, b in surges if kept(a, b) for t, _, _ in lines[a:b] if t)
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
