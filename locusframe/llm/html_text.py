@@ -3,7 +3,7 @@
 Markup is stripped to lines, one for each block. Text lengths are summed over sliding windows of lines; the text
 stands between the point where the sums surge and the point where they dive. The edges of an article, and elements that hold
 menus, notices and the like where they stand between containers, count as a window of empty lines, so that they end a surge. A surge is
-dropped if most of its text is links.
+dropped if most of its text is links; an article that holds one is judged and kept as a whole.
 """
 
 from __future__ import annotations
@@ -56,7 +56,7 @@ def _unwanted(tag: str, attributes: str, in_article: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, article) for each block in page order; article counts from 1, 0 is outside of any.
+    """(text, characters outside links, article) for each block in page order; article is the innermost one, counted from 1, and 0 outside of any.
 
     An article's edge gives WINDOW empty lines, as does an unwanted element unless the text goes on in the same container.
     """
@@ -64,6 +64,7 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     article = articles = link = linked = pos = i = 0
+    outer: list[int] = []  # articles around the open one
     removed = crossed = False  # since the last text: an unwanted element, a container's edge
 
     def add(text: str) -> None:
@@ -128,8 +129,12 @@ def lines_of(page: str) -> list[tuple[str, int, int]]:
         elif tag == "article" or tag == "main":
             gap()
             if tag == "article":
-                articles += not close
-                article = 0 if close else articles
+                if not close:
+                    outer.append(article)
+                    articles += 1
+                    article = articles
+                elif outer:
+                    article = outer.pop()
         elif tag in _BLOCKS:
             flush()
             crossed = crossed or tag in _CONTAINERS
@@ -155,20 +160,20 @@ def extract(page: str | None) -> str:
             begin = None
     if not surges:
         return ""
-    mass: dict[int, int] = {}
-    for _, n, article in lines:
-        if article:
-            mass[article] = mass.get(article, 0) + n
-    if mass:
-        best = max(mass, key=lambda a: (mass[a], -a))
-        return "\n".join(t for t, _, article in lines if article == best and t)
-    most = max(sum(lengths[a:b]) for a, b in surges)
-
-    def kept(a: int, b: int) -> bool:
-        total, free = sum(len(t) for t, _, _ in lines[a:b]), sum(lengths[a:b])
+    # a surge lies in one article or outside of all; the surges of an article are judged together, and it is kept whole
+    groups: dict[tuple[int, int], list[int]] = {}
+    for a, b in surges:
+        if not (article := lines[a][2]):
+            groups[0, a] = list(range(a, b))
+        elif (article, 0) not in groups:
+            groups[article, 0] = [i for i, line in enumerate(lines) if line[2] == article]
+    most = max(sum(lengths[i] for i in g) for g in groups.values())
+
+    def kept(group: list[int]) -> bool:
+        total, free = sum(len(lines[i][0]) for i in group), sum(lengths[i] for i in group)
         return free == most or (total >= LEAST and free >= UNLINKED * total)
 
-    return "\n".join(t for a, b in surges if kept(a, b) for t, _, _ in lines[a:b] if t)
+    return "\n".join(lines[i][0] for i in sorted(i for g in groups.values() if kept(g) for i in g) if lines[i][0])
 
 
 def extract_text(pages: DataFrame) -> DataFrame:

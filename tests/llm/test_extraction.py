@@ -19,3 +19,16 @@ def test_surges_of_links_are_dropped():
     got = html_text.extract(f"<body><div>{_P * 5}</div><nav>no</nav><div>{links}</div></body>")
     assert got.count("\n") == 4 and "headline" not in got
     assert html_text.extract(f"<body><div>{links}</div></body>").count("headline") == 5
+
+
+def test_text_in_several_articles_and_outside_of_them_is_kept():
+    one, two, three = ("<p>" + f"The {n} part of the text, of some length. " * 4 + "</p>" for n in ("first", "second", "third"))
+    get = lambda page: [x.split()[1] for x in html_text.extract(page).split("\n")]
+    assert get(f"<body><article>{one}</article><article>{two * 2}</article><article>{three}</article></body>") == ["first", "second", "second", "third"]
+    assert get(f"<body><article>{one}<article>{two}</article>{three * 3}</article></body>") == ["first", "second", "third", "third", "third"]
+    teaser = "<article><h3><a href=/x>A headline that leads elsewhere, at length</a></h3><p>Read on</p></article>"
+    assert get(f"<body><div>{one * 3}</div>{teaser}</body>") == ["first"] * 3
+    # an article's header stays after an inner article's close, and its lines of links stay with it
+    assert html_text.extract(f"<article>{one}<article>{two}</article><header>Head</header></article>").endswith("Head")
+    links = "".join(f"<p><a href=/{i}>Source {i}</a></p>" for i in range(6))
+    assert html_text.extract(f"<article>{one * 3}{links}</article>").count("Source") == 6
