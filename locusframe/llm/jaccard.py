@@ -230,12 +230,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("mark"), "text")
     rows = materialize(_rows(docs, k), "shingled")
-    sets = materialize(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id")), "sets")
+    sets = materialize(rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.min("mark").alias("mark")), "sets")
 
     grouped = materialize(candidate_groups(_keys(docs.select("text"), k, percent, frequent_hashes(docs, k))), "grouped")
     n = grouped.count()
-    wanted = materialize(sets.select("set_id", "doc_id").join(grouped.select(F.col("id").alias("set_id")), "set_id"), "wanted")
+    wanted = materialize(sets.join(grouped.select(F.col("id").alias("set_id")), "set_id"), "wanted")
     texts = docs.join(bounded_broadcast(wanted.select("doc_id").distinct(), n, 16), "doc_id").select("text")
+    nameless = wanted.where("doc_id is null").select("mark").distinct()
+    if not nameless.isEmpty():  # sets of which every document has a null doc_id
+        texts = texts.union(docs.where("doc_id is null").join(bounded_broadcast(nameless, n, 16), "mark").dropDuplicates(["mark"]).select("text"))
     members = _sets(texts, k).join(bounded_broadcast(grouped, n, 32), F.col("set_id") == F.col("id")).select("id", "grp", "chunk", "chunks", "hashes")
     linked = linked_components(members, lambda left, right: _product(left, right, percent))
     bound = sets.select("set_id", "doc_id")
