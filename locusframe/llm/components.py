@@ -48,10 +48,11 @@ def candidate_groups(keys: DataFrame) -> DataFrame:
     A key's smallest id stands for it, so g ids under a key give g - 1 edges and no pairs. Groups of more than TILE ids are cut into
     chunks.
     """
-    members = F.sum(F.pmod(F.xxhash64("id"), F.lit(1 << 31)))
-    found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), members.alias("of")).where("lo <> hi")
-    # keys with the same ids say the same; the sum tells most sets of ids apart, and n, lo and hi the rest
-    groups = materialize(found.groupBy("n", "lo", "hi", "of").agg(F.min("key").alias("key")), "groups")
+    h = F.xxhash64("id")
+    sums = [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high")]
+    found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("lo <> hi")
+    # keys with the same ids say the same; the sums of both halves of the ids' hashes tell sets of ids apart, with n, lo and hi
+    groups = materialize(found.groupBy("n", "lo", "hi", "low", "high").agg(F.min("key").alias("key")), "groups")
     many = groups.where("n > 2").select("key", "lo")
     star = keys.join(bounded_broadcast(many, many.count(), 16), "key").select(F.col("lo").alias("a"), F.col("id").alias("b"))
     edges = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(star)
