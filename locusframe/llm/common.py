@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only up to so many bytes, as counted rows times bytes a row.
 BROADCAST_BYTES = 16 << 20
+#: A key is hot if it has more than one in so many rows.
+HOT_KEYS = 20_000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -58,6 +60,20 @@ def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def split_join(rows: DataFrame, table: DataFrame, on: str, total: int, most: int, row_bytes: int = 32, how: str = "inner") -> DataFrame:
+    """rows joined to table (on, n, others): one row a key, n the number of rows with that key, total their sum, most no fewer than table's rows.
+
+    Within the bound the table is broadcast. Beyond it rows of hot keys meet a broadcast of these, of which there can be no more than
+    HOT_KEYS, and only the others are shuffled, so no task gets the rows of a hot key together.
+    """
+    if most * row_bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table.drop("n")), on, how)
+    table = materialize(table, "table")
+    hot = F.broadcast(table.where(F.col("n") > F.lit(total / HOT_KEYS)).drop("n"))
+    plain = table.where(F.col("n") <= F.lit(total / HOT_KEYS)).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(plain, on, how))
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -3,24 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import bounded_broadcast, drop_table, materialize
+from locusframe.llm.common import bounded_broadcast, drop_table, materialize, partitions_for, split_join
 
-#: Rows of a group that one tile compares with as many.
-TILE = 1024
+#: A tile holds at most so many rows on a side, of so many bytes in all; larger groups are cut into chunks that meet in pairs.
+TILE, TILE_BYTES = 2048, 32 << 20
+#: One call compares tiles of about so many rows and bytes.
+CALL_ROWS, CALL_BYTES = 20_000, 32 << 20
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b): the smallest node reachable.
+    """(node, component) for every node of edges (a, b) of any ordered type: the smallest node reachable.
 
     Alternates large-star and small-star steps on written tables. Each step is a grouped minimum, combined
-    before its shuffle, and a join that splits hot nodes; no neighbour list is ever gathered. An empty table
-    gives an empty table; self-links and repeated links change nothing.
+    before its shuffle, and a join that spreads the rows of hot nodes; no neighbour list is ever gathered. An empty table
+    gives an empty table; self-links, repeated links and links with a null end change nothing.
     """
     star = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
     seen = None
@@ -28,12 +31,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         mark = star.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if mark == seen or mark["n"] == 0:
             break
-        seen = mark
+        seen, n = mark, mark["n"]
         both = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select("v", F.col("m").alias("u")).where("u <> v").distinct()
-        least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(least, "v").select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = split_join(both, low, "u", 2 * n, 2 * n).where("v > u").select("v", F.col("m").alias("u")).where("u <> v").distinct()
+        least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
+        met = split_join(large, least, "v", n, n)
+        small = met.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
         old, star = star, materialize(small, "star")
         drop_table(old)
     else:
@@ -42,48 +46,124 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.select(F.col("v").alias("node"), F.col("u").alias("component")).union(ends)
 
 
-def candidate_groups(keys: DataFrame) -> DataFrame:
-    """(id, grp, chunk, chunks): ids of keys (key, id) that share keys, directly or through others, by group; lone ids are absent.
+@dataclass
+class KeyGroups:
+    """Rows that share a key: as pairs (a, b) where a key has just two, else as members (grp, id) of the key."""
 
-    A key's smallest id stands for it, so g ids under a key give g - 1 edges and no pairs. Groups of more than TILE ids are cut into
-    chunks.
+    pairs: DataFrame
+    members: DataFrame
+
+    def ids(self) -> DataFrame:
+        ends = self.pairs.select(F.explode(F.array("a", "b")).alias("id"))
+        return ends.union(self.members.select("id")).distinct()
+
+
+def key_groups(keys: DataFrame) -> KeyGroups:
+    """The groups of keys (key, id), which may repeat rows; keys of a single id are left out, keys with the same ids are given once.
+
+    A first pass combines each key's count and ends, so most keys go before anything else is done; only the rows of keys with
+    three or more ids are shuffled again.
+    """
+    found = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), "keys")
+    pairs = materialize(found.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "pairs")
+    many = found.where("n > 2").select("key", "n")
+    size = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    members = materialize(split_join(keys, many, "key", size, many.count()).select("key", "id").distinct(), "members")
+    # two hashes of 64 bits tell sets of ids apart, added up in halves so that no sum overflows
+    h, g = F.xxhash64("id"), F.xxhash64(F.lit(1), "id")
+    halves = [x for y in (h, g) for x in (y.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(y, 32))]
+    signed = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves)])
+    once = materialize(signed.groupBy("n", "s0", "s1", "s2", "s3").agg(F.min("key").alias("key")).select("key", "n"), "once")
+    kept = split_join(members, once.where("n > 1"), "key", size, once.count())
+    drop_table(found)
+    return KeyGroups(pairs, materialize(kept.select(F.col("key").alias("grp"), "id"), "groups"))
+
+
+#: Rows on the left and, for pairs across two chunks, on the right, as (size, bytes); gives positions of links, enough to join all that link.
+Linker = Callable[[list[int], list[bytes], "np.ndarray | None"], tuple[np.ndarray, np.ndarray]]
+
+
+def spanning_links(members: DataFrame, band: Column, link: Linker, node: str) -> DataFrame:
+    """Links (a, b), enough to join all rows of a group that link, among members (grp, node, size, data); node is the type of nodes.
+
+    Rows link only within a band or with the next one. A group is one tile, or, if it has more than TILE rows or TILE_BYTES bytes,
+    chunks by band, of which those that can link meet in pairs. link gets sizes, data and sides of a tile (no sides: all with all).
     """
-    h = F.xxhash64("id")
-    sums = [F.sum(h.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(h, 32)).alias("high")]
-    found = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), *sums).where("lo <> hi")
-    # keys with the same ids say the same; the sums of both halves of the ids' hashes tell sets of ids apart, with n, lo and hi
-    groups = materialize(found.groupBy("n", "lo", "hi", "low", "high").agg(F.min("key").alias("key")), "groups")
-    many = groups.where("n > 2").select("key", "lo")
-    star = keys.join(bounded_broadcast(many, many.count(), 16), "key").select(F.col("lo").alias("a"), F.col("id").alias("b"))
-    edges = groups.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).union(star)
-    of = materialize(connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("grp")), "candidates")
-    large = materialize(of.groupBy("grp").count().where(F.col("count") > TILE).select("grp", F.ceil(F.col("count") / TILE).cast("int").alias("chunks")), "large")
-    dealt = of.join(bounded_broadcast(large, large.count(), 24), "grp", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    return dealt.select("id", "grp", F.pmod(F.xxhash64("id"), "chunks").cast("int").alias("chunk"), "chunks")
-
-
-def linked_components(members: DataFrame, links: Callable[[pa.Table, pa.Table | None], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """(node, component) of the rows of members (id, grp, chunk, chunks, others) that links join; rows without a link are absent.
-
-    Each pair of chunks of a group meets in one tile. links gets the rows of one chunk and those of another, or None for pairs within
-    the first, and returns positions of linking pairs, in both or in the first alone; it may leave out pairs that others of
-    its own join. A tile gives each linked row its smallest partner reachable, never the pairs.
+    spark = members.sparkSession
+    rows = members.select("grp", "node", F.col("size").cast("long").alias("size"), "data", band.cast("int").alias("band"))
+    weight = (F.octet_length("data") + 32).cast("long")
+    sums = materialize(rows.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes")), "bands")
+    whole = sums.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    large = whole.where((F.col("n") > TILE) | (F.col("bytes") > TILE_BYTES)).select("grp")
+    chunks = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
+    cut = materialize(sums.join(large, "grp").select("grp", "band", chunks.alias("chunks")), "chunks")
+    n_cut = cut.count()
+    none = [F.lit(None).cast("int").alias(c) for c in ("band_i", "i", "band_j", "j")]
+    if n_cut:
+        near = cut.alias("own")
+        for name, step in (("before", -1), ("after", 1)):
+            other = cut.select(F.col("grp").alias(f"g_{name}"), (F.col("band") - step).alias(f"b_{name}"), F.col("chunks").alias(name))
+            near = near.join(other, (F.col("grp") == F.col(f"g_{name}")) & (F.col("band") == F.col(f"b_{name}")), "left").drop(f"g_{name}", f"b_{name}")
+        near = materialize(near, "near")
+        big = rows.join(bounded_broadcast(near, n_cut, 48), ["grp", "band"])
+        mine = F.pmod(F.xxhash64("node"), "chunks").cast("int")
+        upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+        spot = lambda a, i, b, j, side: F.struct(a.alias("band_i"), i.alias("i"), b.alias("band_j"), j.alias("j"), F.lit(side).alias("side"))
+        band_, chunk = F.col("band"), F.col("__chunk")
+        meet = F.concat(
+            F.transform(upto(F.col("chunks")), lambda x: F.when(x >= chunk, spot(band_, chunk, band_, x, 0)).otherwise(spot(band_, x, band_, chunk, 1))),
+            F.transform(upto(F.coalesce("after", F.lit(0))), lambda x: spot(band_, chunk, band_ + 1, x, 0)),
+            F.transform(upto(F.coalesce("before", F.lit(0))), lambda x: spot(band_ - 1, x, band_, chunk, 1)),
+        )
+        big = big.withColumn("__chunk", mine).withColumn("spot", F.explode(meet)).select("grp", "node", "size", "data", "spot.*")
+        small = rows.join(bounded_broadcast(large, n_cut, 16), "grp", "left_anti").select("grp", "node", "size", "data", *none, F.lit(0).alias("side"))
+        rows = small.unionByName(big)
+    else:
+        rows = rows.select("grp", "node", "size", "data", *none, F.lit(0).alias("side"))
+    calls = max(partitions_for(spark), total["n"] // CALL_ROWS, total["bytes"] // CALL_BYTES)
+    rows = rows.withColumn("call", F.pmod(F.xxhash64("grp", "band_i", "i", "band_j", "j"), F.lit(calls)))
+    names = ["grp", "band_i", "i", "band_j", "j"]
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(c, "ascending") for c in (*names, "size")])
+        where = np.array([table.column(c).fill_null(-(1 << 30)).to_numpy() for c in names])
+        edge = np.flatnonzero(np.concatenate(([True], (where[:, 1:] != where[:, :-1]).any(axis=0), [True]))) if len(table) else np.zeros(1, np.int64)
+        a, b = [], []
+        for p, q in zip(edge[:-1].tolist(), edge[1:].tolist()):
+            tile = table.slice(p, q - p)
+            side = None if where[2, p] == where[4, p] and where[1, p] == where[3, p] else tile.column("side").to_numpy()
+            x, y = link(tile.column("size").to_pylist(), tile.column("data").to_pylist(), side)
+            a.append(x + p)
+            b.append(y + p)
+        nodes = table.column("node").combine_chunks()
+        ends = [nodes.take(pa.array(np.concatenate([np.zeros(0, np.int64), *x]))) for x in (a, b)]
+        return pa.table(ends, ["a", "b"])
+
+    return rows.groupBy("call").applyInArrow(compare, f"a {node}, b {node}")
+
+
+def spread(size: np.ndarray, side: np.ndarray | None, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all rows that link, found from row to row: a row is compared only with rows that none has joined yet.
+
+    near gives those of the given rows that link with a row. A group of rows that all link costs one comparison each.
     """
-    meet = F.explode(F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: F.struct(F.least("chunk", x).alias("i"), F.greatest("chunk", x).alias("j"))))
-    dealt = members.withColumn("tile", meet).withColumns({"i": F.col("tile.i"), "j": F.col("tile.j")}).drop("tile", "chunks")
-
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        chunk, i, j = table.column("chunk").to_numpy(), key[1].as_py(), key[2].as_py()
-        left = table if i == j else table.filter(pa.array(chunk == i))
-        right = None if i == j else table.filter(pa.array(chunk == j))
-        a, b = links(left, right)
-        ids = left.column("id").to_numpy()
-        ends = np.concatenate((ids[a], (ids if right is None else right.column("id").to_numpy())[b]))
-        nodes, at = np.unique(ends, return_inverse=True)
-        label = smallest_reachable(len(nodes), at[: len(a)], at[len(a) :])
-        return pa.table([pa.array(nodes, pa.int64()), pa.array(nodes[label], pa.int64())], ["a", "b"])
-
-    return connected_components(dealt.groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long"))
+    left = np.ones(len(size), bool)
+    a, b = [], []
+    for seed in range(len(size)):
+        front = [seed] if left[seed] else []
+        left[seed] = False
+        while front:
+            x = front.pop()
+            rest = np.flatnonzero(left if side is None else left & (side != side[x]))
+            if not len(rest):
+                continue
+            found = near(x, rest)
+            left[found] = False
+            front += found.tolist()
+            a.append(np.full(len(found), x))
+            b.append(found)
+    return tuple(np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
 
 
 def smallest_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:

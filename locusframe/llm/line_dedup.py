@@ -2,7 +2,7 @@
 
 A line within t edits of another contains one of the other's t + 1 segments, shifted by no more than the edits allow. So each
 line is cut into t + 1 segments, and for each length up to t below its own it is probed with the substrings that may equal a segment of a line
-of that length. Lines that share a (length, segment, substring) key are candidates; a banded bit-parallel edit distance verifies them.
+of that length. Lines that share a (length, edits, segment, substring) key are candidates; a banded bit-parallel edit distance verifies them.
 """
 
 from __future__ import annotations
@@ -16,12 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import bounded_broadcast, documents, materialize
-from locusframe.llm.components import candidate_groups, linked_components
+from locusframe.llm import common
+from locusframe.llm.common import bounded_broadcast, documents, materialize, split_join
+from locusframe.llm.components import connected_components, key_groups, spanning_links, spread
 
 EDITS = 2
-#: Shorter lines, in code points, are matched only as exact copies.
-MIN_CHARS = 20
+#: An edit is allowed for every so many code points of the longer line, up to EDITS of them.
+EDIT_CHARS = 10
+#: The engine's expression for a line that isn't blank; the characters that Python's strip() removes.
+NOT_BLANK = r"[^\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 #: A task remembers so many lines whose keys it has given; it may give those of others again, which changes nothing.
 _REMEMBERED = 200_000
 
@@ -42,24 +45,39 @@ def segments(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
     return out
 
 
+def edits_for(length: int, edits: int = EDITS) -> int:
+    """Edits allowed between a line of so many code points and one that is no longer."""
+    return min(edits, length // EDIT_CHARS)
+
+
 def line_keys(line: str, edits: int = EDITS) -> list[int]:
-    """Hashes of (length, segment, substring) under which the line is stored or sought."""
+    """Hashes of (length, edits, segment, substring) under which the line is stored or sought."""
     n, keys = len(line), set()
-    for less in range(edits + 1):
-        if n - less <= edits:
-            break
-        for i, (start, size) in enumerate(segments(n - less, edits)):
-            low = max(0, start - i, start + less - (edits - i))
-            high = min(n - size, start + i, start + less + (edits - i))
+    own = edits_for(n, edits)
+    for less in range(own + 1 if own else 0):
+        for i, (start, size) in enumerate(segments(n - less, own)):
+            low = max(0, start - i, start + less - (own - i))
+            high = min(n - size, start + i, start + less + (own - i))
             for at in range(low, high + 1):
-                keys.add(_hash(line[at : at + size], (n - less) * 8 + i))
+                keys.add(_hash(line[at : at + size], ((n - less) * (edits + 1) + own) * (edits + 1) + i))
+    for more in range(1, edits + 1):  # what a longer line, to which more edits are allowed, seeks
+        if own < (t := edits_for(n + more, edits)) >= more:
+            keys |= {_hash(line[at : at + size], (n * (edits + 1) + t) * (edits + 1) + i) for i, (at, size) in enumerate(segments(n, t))}
     return list(keys)
 
 
+def _digest(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+
+
 def _hash(text: str, seed: int = 0) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass"), seed), "big", signed=True)
 
 
+def _short(line_id: bytes) -> int:
+    return int.from_bytes(line_id[:8], "big", signed=True)
+
+
 def within_edits(a: str, b: str, edits: int = EDITS) -> bool:
     """Whether the edit distance, by code points, is at most edits.
 
@@ -109,110 +127,130 @@ def _band(short: str, long: str, edits: int) -> bool:
     return score <= edits
 
 
-def line_occurrences(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, mark, line_no, line_id, keys): one row for each line that isn't blank; keys are null where they are known to be given elsewhere."""
+def line_occurrences(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, line_no, line_id, id): one row for each line that isn't blank; line_id is a digest of the line, id a part of it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
         for b in batches:
-            ids, marks = b.column(0).to_pylist(), b.column(1).to_pylist()
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            at, numbers, lines = [], [], []
             for i, text in enumerate(b.column(2)):
                 for no, line in enumerate(lines_of(text.as_py())):
-                    if not line:
-                        continue
-                    h = _hash(line)
-                    keys = None
-                    if len(line) >= min_chars and h not in given:
-                        keys = line_keys(line, edits)
-                        if len(given) < _REMEMBERED:
-                            given.add(h)
-                    for out, x in zip(rows, (ids[i], marks[i], no, h, keys)):
-                        out.append(x)
-                if len(rows[0]) > 20_000:
-                    yield _table(rows)
-                    rows = ([], [], [], [], [])
-            yield _table(rows)
+                    if line:
+                        at.append(i)
+                        numbers.append(no)
+                        lines.append(_digest(line))
+            take = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(lines, pa.binary()), pa.array(map(_short, lines), pa.int64())], ["doc_id", "mark", "line_no", "line_id", "id"])
 
-    return docs.mapInArrow(scan, "doc_id long, mark long, line_no int, line_id long, keys array<long>")
+    return docs.mapInArrow(scan, "doc_id long, mark long, line_no int, line_id binary, id long")
 
 
-def _table(rows: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds)], ["doc_id", "mark", "line_no", "line_id", "keys"])
+def _keys(docs: DataFrame, edits: int) -> DataFrame:
+    """(key, id) of the lines of docs (text); recomputed where it is used twice, since it is larger than the texts."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given: set[int] = set()
+        for b in batches:
+            ids: list[int] = []
+            keys: list[int] = []
+            for text in b.column(0):
+                for line in lines_of(text.as_py()):
+                    if not line or (h := _short(_digest(line))) in given:
+                        continue
+                    if len(given) < _REMEMBERED:
+                        given.add(h)
+                    found = line_keys(line, edits)
+                    keys += found
+                    ids += [h] * len(found)
+                if len(keys) > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+                    ids, keys = [], []
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+
+    return docs.mapInArrow(scan, "key long, id long")
 
 
 def _line_texts(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = [x for t in b.column(0) for x in lines_of(t.as_py()) if x]
-            yield pa.RecordBatch.from_arrays([pa.array([_hash(x) for x in lines], pa.int64()), pa.array(lines, pa.string())], ["line_id", "line"])
+            lines = list({x for t in b.column(0) for x in lines_of(t.as_py()) if x})
+            marks = [_digest(x) for x in lines]
+            raw = [x.encode("utf-8", "surrogatepass") for x in lines]
+            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(map(_short, marks), pa.int64()), pa.array(map(len, lines), pa.int64()), pa.array(raw, pa.binary())], ["line_id", "id", "size", "data"])
+
+    return docs.mapInArrow(scan, "line_id binary, id long, size long, data binary")
 
-    return docs.mapInArrow(scan, "line_id long, line string")
 
+def _linked(a: str, b: str, edits: int) -> bool:
+    return within_edits(a, b, edits_for(max(len(a), len(b)), edits))
 
-def _links(left: list[str], right: list[str] | None, edits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of lines within edits of each other, but for pairs that others join. Only lines near in length are compared."""
-    lines = left + (right or [])
-    parent = list(range(len(lines)))
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
+def _links(sizes: list[int], data: list[bytes], side: np.ndarray | None, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that join all lines of a tile that link."""
+    lines, size = [d.decode("utf-8", "surrogatepass") for d in data], np.array(sizes, np.int64)
 
-    by_length: dict[int, list[int]] = {}
-    for i in range(len(left) if right is not None else 0, len(lines)):
-        by_length.setdefault(len(lines[i]), []).append(i)
-    a, b = [], []
-    for i in range(len(left)):
-        for n in range(len(lines[i]) - edits, len(lines[i]) + edits + 1):
-            for j in by_length.get(n, ()):
-                if (right is not None or j > i) and root(i) != root(j) and within_edits(lines[i], lines[j], edits):
-                    parent[root(j)] = root(i)
-                    a.append(i)
-                    b.append(j - (len(left) if right is not None else 0))
-    return np.array(a, np.int64), np.array(b, np.int64)
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        rest = rest[np.abs(size[rest] - size[x]) <= edits]
+        return rest[np.array([_linked(lines[x], lines[y], edits) for y in rest.tolist()], bool)]
 
+    return spread(size, side, near)
 
-def line_decisions(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+
+def line_decisions(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     """(doc_id, mark, line_no, line_id, class_id, kept) for every line of docs (doc_id, text, others) that isn't blank, mark a hash of the text.
 
-    Lines are compared without white space at their ends. Two lines link if they are equal, or have min_chars code points or more each and lie within
-    edits of each other; class_id is the smallest line_id reachable. The first line of a class in order of (doc_id, mark, line_no) is kept, in
-    each row of a repeated document. Null texts and a null doc_id give no lines. Lines are told apart by 64-bit hashes.
+    Lines are compared without white space at their ends, however long. Two lines link if their edit distance is within edits_for() the longer one;
+    class_id is the smallest line_id reachable. The first line of a class in order of (doc_id, mark, line_no) is kept, in
+    each row of a repeated document. Null texts and rows with a null doc_id give no lines; an empty table gives an empty one; other columns of
+    docs are ignored. Lines are told apart by 128-bit hashes.
     """
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
-    lines = materialize(line_occurrences(docs, edits, min_chars), "lines")
-    distinct = materialize(lines.where("keys is not null").groupBy("line_id").agg(F.first("keys").alias("keys"), F.min("doc_id").alias("doc_id")), "distinct")
-    grouped = materialize(candidate_groups(distinct.select(F.explode("keys").alias("key"), F.col("line_id").alias("id"))), "grouped")
-    n = grouped.count()
-    wanted = materialize(distinct.select("line_id", "doc_id").join(bounded_broadcast(grouped.select(F.col("id").alias("line_id")), n, 16), "line_id"), "wanted")
-    texts = docs.join(bounded_broadcast(wanted.select("doc_id").distinct(), n, 16), "doc_id").select("text")
-    members = _line_texts(texts).join(bounded_broadcast(grouped, n, 32), F.col("line_id") == F.col("id")).select("id", "grp", "chunk", "chunks", "line")
-
-    def links(left: pa.Table, right: pa.Table | None) -> tuple[np.ndarray, np.ndarray]:
-        return _links(left.column("line").to_pylist(), None if right is None else right.column("line").to_pylist(), edits)
-
-    linked = linked_components(members.dropDuplicates(["id"]), links)
-    of = materialize(linked.where("node <> component").select(F.col("node").alias("line_id"), F.col("component").alias("class_id")), "classes")
-    classed = lines.drop("keys").join(bounded_broadcast(of, of.count(), 24), "line_id", "left").withColumn("class_id", F.coalesce("class_id", "line_id"))
+    lines = materialize(line_occurrences(docs), "lines")
+    found = key_groups(_keys(docs.select("text"), edits))
+    ids = materialize(found.ids(), "candidates")
+    n_ids = ids.count()
+    ids = bounded_broadcast(ids, n_ids, 16)
+    wanted = lines.join(ids, "id", "left_semi").groupBy("line_id").agg(F.min(F.struct("doc_id", "mark")).alias("at")).select("at.*").distinct()
+    texts = docs.join(bounded_broadcast(materialize(wanted, "wanted"), n_ids, 32), ["doc_id", "mark"], "left_semi").select("text")
+    data = materialize(_line_texts(texts).join(ids, "id", "left_semi").groupBy("line_id").agg(F.first("id").alias("id"), F.first("size").alias("size"), F.first("data").alias("data")), "texts")
+    a, b = (data.select(F.col("id").alias(x), F.col("line_id").alias(f"l{x}"), F.col("data").alias(f"d{x}")) for x in "ab")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            x, y = ([d.decode("utf-8", "surrogatepass") for d in t.column(c).to_pylist()] for c in ("da", "db"))
+            ok = pa.array([_linked(p, q, edits) for p, q in zip(x, y)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([t.column("la").filter(ok), t.column("lb").filter(ok)], ["a", "b"])
+
+    pairs = found.pairs.join(a, "a").join(b, "b").select("la", "da", "lb", "db").mapInArrow(near, "a binary, b binary")
+    members = found.members.join(data, "id").select("grp", F.col("line_id").alias("node"), "size", "data")
+    links = spanning_links(members, F.floor(F.col("size") / (8 * (edits + 1))), lambda sizes, data, side: _links(sizes, data, side, edits), "binary")
+    of = connected_components(pairs.union(links)).where("node <> component").select(F.col("node").alias("line_id"), F.col("component").alias("class_id"))
+    of = materialize(of, "classes")
+    n_of = of.count()
+    # counts of rows are needed only where the table is too large to be broadcast
+    of = of.withColumn("n", F.lit(1)) if n_of * 64 <= common.BROADCAST_BYTES else of.join(lines.groupBy("line_id").agg(F.count(F.lit(1)).alias("n")), "line_id")
+    n_lines = lines.count()
+    classed = split_join(lines.drop("id"), of, "line_id", n_lines, n_of, 64, how="left").withColumn("class_id", F.coalesce("class_id", "line_id"))
     first = classed.groupBy("class_id").agg(F.min(F.struct("doc_id", "mark", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
-    several = materialize(first.where("n > 1").drop("n"), "several")
-    return classed.join(bounded_broadcast(several, several.count(), 48), "class_id", "left").select("doc_id", "mark", "line_no", "line_id", "class_id", F.coalesce(F.struct("doc_id", "mark", "line_no") == F.col("first"), F.lit(True)).alias("kept"))
+    several = materialize(first.where("n > 1"), "several")
+    out = split_join(classed, several, "class_id", n_lines, several.count(), 64, how="left")
+    return out.select("doc_id", "mark", "line_no", "line_id", "class_id", F.coalesce(F.struct("doc_id", "mark", "line_no") == F.col("first"), F.lit(True)).alias("kept"))
 
 
-def summary(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed_lines) for every row of docs: counts of lines that aren't blank, and the numbers, from 0, of the removed ones, joined by commas."""
-    dropped = line_decisions(docs, edits, min_chars).where("not kept")
+def summary(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """(doc_id, n_lines, n_removed, removed_lines) for every row of docs (doc_id, text, others): counts of lines that aren't blank, and the numbers,
+    from 0, of the removed ones, joined by commas. A null text has no lines; of a row with a null doc_id lines are counted and none is removed.
+    Repeated rows give repeated results.
+    """
+    dropped = line_decisions(docs, edits).where("not kept")
     removed = dropped.select("doc_id", "mark", "line_no").distinct().groupBy("doc_id", "mark").agg(F.sort_array(F.collect_list("line_no")).alias("gone"))
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))), F.lit(0)).cast("long").alias("n_lines"))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(NOT_BLANK))), F.lit(0)).cast("long").alias("n_lines"))
     return counted.join(removed, ["doc_id", "mark"], "left").select("doc_id", "n_lines", F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("gone", ","), F.lit("")).alias("removed_lines"))
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs without the lines that line_decisions removes, in docs' own columns."""
-    dropped = line_decisions(docs, edits, min_chars).where("not kept").select("doc_id", "mark", "line_no").distinct()
+def dedup_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+    """docs (doc_id, text, others) without the lines that line_decisions removes, in docs' own columns; rows with a null doc_id or text stay as they are."""
+    dropped = line_decisions(docs, edits).where("not kept").select("doc_id", "mark", "line_no").distinct()
     removed = dropped.groupBy("doc_id", "mark").agg(F.collect_set("line_no").alias("__gone")).toDF("__id", "__mark", "__gone")
     marked = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__mark": F.xxhash64("text")}).join(removed, ["__id", "__mark"], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("__gone", i)), "\n")

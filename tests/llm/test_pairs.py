@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe.llm import components, embeddings, jaccard, line_dedup
 
@@ -53,7 +54,7 @@ def test_jaccard_components_match_brute_force(spark, k, percent):
     assert links and got == {i: (len(s), of[i]) for i, s in sets.items()}
 
 
-def test_every_linking_pair_shares_a_block():
+def test_linking_pairs_share_a_first_column_and_pass_by_size_and_sketch():
     rng = np.random.default_rng(5)
     for _ in range(300):
         n, percent = int(rng.integers(1, 400)), int(rng.choice([50, 80, 90]))
@@ -62,9 +63,26 @@ def test_every_linking_pair_shares_a_block():
         b = np.unique(np.concatenate((a[int(rng.integers(0, most + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, most + 1)), dtype=np.int64).astype(np.uint64))))
         inter = len(np.intersect1d(a, b))
         if len(b) and 100 * inter >= percent * (len(a) + len(b) - inter) and not np.array_equal(a, b):
+            assert jaccard._sketches_allow(np.array([len(a)]), [jaccard.sketch(a)], np.array([len(b)]), [jaccard.sketch(b)], percent)[0]
             for share in (0, 0.2, 0.7, 1):
-                frequent = np.sort(a[rng.random(len(a)) < share])
-                assert set(jaccard.block_keys(a, percent, frequent)) & set(jaccard.block_keys(b, percent, frequent))
+                often = np.sort(a[rng.random(len(a)) < share])
+                frequent = (often, rng.permutation(len(often)))
+                assert set(jaccard.prefix(a, percent, frequent)) & set(jaccard.prefix(b, percent, frequent))
+
+
+def test_sparse_products_match_intersections():
+    rng = np.random.default_rng(8)
+    for side in (None, np.arange(40) % 2):
+        pool = np.unique(rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64))
+        sets = [np.sort(rng.choice(pool[i % 4 * 60 :][:80], int(rng.integers(1, 70)), replace=False)) for i in range(40)]
+        for percent in (30, 50, 80):
+            sizes, data = [len(x) for x in sets], [x.tobytes() for x in sets]
+            links = [(i, j) for i, j in itertools.combinations(range(40), 2) if (side is None or side[i] != side[j]) and 100 * (o := len(np.intersect1d(sets[i], sets[j]))) >= percent * (sizes[i] + sizes[j] - o)]
+            for found in (jaccard._set_links(sizes, data, side, percent), jaccard._sketch_links(sizes, [jaccard.sketch(x) for x in sets], side, percent)):
+                got, want = _union(range(40), zip(*(x.tolist() for x in found))), _union(range(40), links)
+                assert all(got[i] == got[j] for i, j in links)
+            got = _union(range(40), zip(*(x.tolist() for x in jaccard._set_links(sizes, data, side, percent))))
+            assert got == want
 
 
 def test_jaccard_of_an_empty_table_and_repeated_rows(spark):
@@ -76,23 +94,49 @@ def test_jaccard_of_an_empty_table_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 3, 3]
 
 
-def test_frequent_lines_change_no_result(spark, monkeypatch):
+def test_frequent_grams_change_no_result(spark, monkeypatch):
     rng = random.Random(31)
     line = " ".join(f"common{i}" for i in range(25))
     rows = [(i, "\n".join([line, t or "", line]), "en", "s", "k", 1) for i, t in enumerate(_texts(rng))] + [(900, line, "en", "s", "k", 1), (901, line + " x", "en", "s", "k", 1)]
     docs = spark.createDataFrame(rows, DOCS)
-    assert len(jaccard.frequent_hashes(docs, 3)) == 23
-    with_lines = sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect()))
-    monkeypatch.setattr(jaccard, "FREQUENT_LINES", 0)
-    assert sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect())) == with_lines
+    scanned = jaccard._rows(docs.select("doc_id", F.xxhash64("text").alias("mark"), "text"), 3)
+    assert len(jaccard.frequent_grams(scanned)[0]) >= 23
+    with_grams = sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect()))
+    monkeypatch.setattr(jaccard, "FREQUENT", 1 << 40)
+    assert sorted(map(tuple, jaccard.jaccard_components(docs, 3, 80).collect())) == with_grams
 
 
-def test_groups_beyond_a_tile_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(components, "TILE", 4)
+@pytest.mark.parametrize("tile,size", [(4, 1 << 30), (1 << 30, 1 << 12), (3, 1 << 10)])
+def test_groups_beyond_a_tile_lose_no_link(spark, monkeypatch, tile, size):
+    monkeypatch.setattr(components, "TILE", tile)
+    monkeypatch.setattr(components, "TILE_BYTES", size)
     base = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(base[:30] + [f"x{i}"] + base[30:]), "en", "s", "k", 1) for i in range(23)]
-    got = jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 1, 90).collect()
-    assert {r.component_id for r in got} == {0}
+    rows += [(100 + i, " ".join(base[: 20 + i]), "en", "s", "k", 1) for i in range(40)] + [(200 + i, " ".join(base[:5] + [f"{i}y{j}" for j in range(9)]), "en", "s", "k", 1) for i in range(30)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS), 1, 90).collect()}
+    sets = {i: set(t.split()) for i, t, *_ in rows}
+    want = _union(sets, [(a, b) for a, b in itertools.combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
+    assert got == want and len({want[i] for i in range(23)}) == 1
+
+
+def test_many_candidates_that_mostly_do_not_link(spark):
+    """Thousands of documents share a passage, and few of them link."""
+    rng = random.Random(77)
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, passage + " " + " ".join(f"{i // 2 if i % 50 < 2 else i}q{j}" for j in range(rng.choice([8, 20, 60]))), "en", "s", "k", 1) for i in range(6000)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(rows, DOCS).repartition(6), 3, 90).collect()}
+    sets = {}
+    for i, t, *_ in rows:
+        w = t.split()
+        sets[i] = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+    tail = {}
+    for i, s in sets.items():
+        for x in s:
+            if not any(y[0] == "p" for y in x):
+                tail.setdefault(x, []).append(i)
+    pairs = {p for ids in tail.values() for p in itertools.combinations(ids, 2)}
+    want = _union(sets, [(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b])])
+    assert got == want and 5000 < len(set(want.values())) < 6000
 
 
 def test_connected_components_of_a_path_and_a_star(spark):
@@ -104,7 +148,7 @@ def test_connected_components_of_a_path_and_a_star(spark):
 def test_line_dedup_matches_brute_force(spark):
     rng = random.Random(2)
     letters = "abcde é"
-    lines = ["".join(rng.choice(letters) for _ in range(rng.choice([3, 19, 20, 40, 90]))).strip() or "x" for _ in range(40)]
+    lines = ["".join(rng.choice(letters) for _ in range(rng.choice([3, 9, 10, 11, 19, 20, 21, 40, 90]))).strip() or "x" for _ in range(40)]
     for t in list(lines):
         s = list(t)
         for _ in range(rng.randrange(4)):
@@ -128,13 +172,43 @@ def test_line_dedup_matches_brute_force(spark):
         return p[-1]
 
     keys = list(text)
-    links = [(a, b) for a, b in itertools.combinations(keys, 2) if text[a] == text[b] or min(len(text[a]), len(text[b])) >= 20 and abs(len(text[a]) - len(text[b])) <= 2 and distance(text[a], text[b]) <= 2]
+    links = [(a, b) for a, b in itertools.combinations(keys, 2) if text[a] == text[b] or abs(len(text[a]) - len(text[b])) <= 2 and distance(text[a], text[b]) <= min(2, max(len(text[a]), len(text[b])) // 10)]
     want = _union(keys, links)
     assert links and {frozenset(k for k in keys if of[k].class_id == c) for c in {r.class_id for r in rows}} == {frozenset(k for k in keys if want[k] == c) for c in set(want.values())}
     held = line_dedup.dedup_lines(spark.createDataFrame(docs, DOCS)).collect()
     assert sum(len([x for x in line_dedup.lines_of(r.text) if x]) for r in held) == len(set(want.values())) and len(held) == len(docs)
 
 
+def test_lines_within_edits_share_a_key():
+    rng = random.Random(14)
+    for _ in range(3000):
+        a = "".join(rng.choice("abc") for _ in range(rng.choice([7, 8, 9, 10, 11, 12, 17, 18, 19, 20, 21, 22, 40])))
+        b = list(a)
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randrange(2)] = rng.choice(["", "a", "d"])
+        b = "".join(b)
+        if a != b and line_dedup._linked(a, b, 2):
+            assert set(line_dedup.line_keys(a)) & set(line_dedup.line_keys(b)), (a, b)
+
+
+def test_blank_lines_are_those_that_strip_empties(spark):
+    blanks = [chr(c) for c in range(0x10000) if c != 10 and not 0xD800 <= c < 0xE000 and not chr(c).strip()]
+    texts = ["a\n" + c + "\nb" for c in blanks] + ["a\n" + c + "\nb" for c in "\u200b\ufeff\u180e"]
+    rows = [(i, t + f"{i}", "en", "s", "k", 1) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.n_lines for r in line_dedup.summary(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: sum(1 for x in t.split("\n") if x.strip()) for i, t, *_ in rows}
+
+
+def test_line_dedup_of_empty_repeated_and_nameless_rows(spark):
+    empty = spark.createDataFrame([], DOCS)
+    assert line_dedup.summary(empty).count() == 0 and line_dedup.dedup_lines(empty).columns == empty.columns
+    long = "x" * 300_000
+    rows = [(1, "same line here\n" + long, "en", "s", "k", 1)] * 2 + [(2, "same line here", "en", "s", "k", 1), (None, "same line here", "en", "s", "k", 1), (3, long + "y", "en", "s", "k", 1), (4, None, "en", "s", "k", 1)]
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_removed, r.removed_lines) for r in line_dedup.summary(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(0, 1, 0, ""), (1, 2, 0, ""), (1, 2, 0, ""), (2, 1, 1, "0"), (3, 1, 1, "0"), (4, 0, 0, "")]
+
+
 def test_edit_distance_band_against_the_matrix():
     rng = random.Random(9)
     for _ in range(4000):
