@@ -395,10 +395,18 @@ def as_rms_mapping_quality(ev: DataFrame) -> DataFrame:
 
 
 @register("OrientationBiasReadCounts")
-def orientation_bias(ev: DataFrame, least_qual: int = 20) -> DataFrame:
-    """(site, sample, allele, f1r2, f2r1) of fragments (name): the first read of each counts, if its mapping and base quality admit it."""
-    first = ev.where("is_informative").groupBy("site", "sample", "name", F.col("best").alias("allele")).agg(F.min_by(F.struct("mapq", "qual", "is_reverse", "is_first"), "ev").alias("r"))
-    held = first.where(~F.col("r.mapq").isin(0, 255) & (F.col("r.qual") >= least_qual))
+def orientation_bias(ll: DataFrame, reads: DataFrame, least_qual: int = 20) -> DataFrame:
+    """(site, sample, allele, f1r2, f2r1): informative fragments by the allele that their summed likelihoods favour.
+
+    reads has (site, sample, ev, name, mapq, qual, is_reverse, is_first). The first read (by ev) stands for its fragment (name), which counts if that read's mapping
+    and base quality admit it.
+    """
+    from locusframe.operators import likelihood as lk
+
+    names = reads.select("ev", "name").distinct()
+    best = lk.best_alleles(lk.by_fragment(ll, names)).where("is_informative").select("site", "sample", F.col("ev").alias("name"), F.col("best").alias("allele"))
+    first = reads.groupBy("site", "sample", "name").agg(F.min_by(F.struct("mapq", "qual", "is_reverse", "is_first"), "ev").alias("r"))
+    held = best.join(first, ["site", "sample", "name"]).where(~F.col("r.mapq").isin(0, 255) & (F.coalesce("r.qual", F.lit(0)) >= least_qual))
     f2r1 = F.col("r.is_reverse") == F.col("r.is_first")
     return held.groupBy("site", "sample", "allele").agg(F.count_if(~f2r1).alias("f1r2"), F.count_if(f2r1).alias("f2r1"))
 

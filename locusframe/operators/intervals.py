@@ -10,8 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALL, OVERLAPPING_ONLY = "ALL", "OVERLAPPING_ONLY"
-#: Width of the bins by which overlap joins are dealt.
-BIN = 10_000
+#: Bins by which overlap joins are dealt are so many times as wide as the right side's mean interval, and this wide at least.
+BIN_RATIO, LEAST_BIN = 4, 128
+#: Width of the bins in which intervals are merged.
+MERGE_BIN = 1_000_000
 #: Interval tables of up to so many rows are broadcast to the other side.
 BROADCAST_ROWS = 100_000
 
@@ -32,17 +34,28 @@ def is_valid(start: Column, end: Column) -> Column:
     return (start > 0) & (end >= start)
 
 
-def _by_contig() -> Window:
-    return Window.partitionBy("contig").orderBy("start", "end")
+def merge(intervals: DataFrame, rule: str = ALL, by: tuple[str, ...] = ("contig",), width: int = MERGE_BIN) -> DataFrame:
+    """(by, start, end): islands of overlapping intervals, and under ALL of abutting ones too.
 
-
-def merge(intervals: DataFrame, rule: str = ALL) -> DataFrame:
-    """(contig, start, end): islands of overlapping intervals, and under ALL of abutting ones too."""
-    reach = F.max("end").over(_by_contig().rowsBetween(Window.unboundedPreceding, -1))
-    apart = F.col("start") > reach + (1 if rule == ALL else 0)
-    marked = intervals.select("contig", "start", "end").withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int"))
-    islands = marked.withColumn("island", F.sum("fresh").over(_by_contig().rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("contig", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    Intervals are merged within bins of their starts. An island is joined to what stands before its bin if it begins within the reach of earlier bins,
+    which only a row for each bin tells, so no task gets a whole contig.
+    """
+    bin_ = [*by, "bin"]
+    inside = Window.partitionBy(*bin_).orderBy("start", "end")
+    gap = 1 if rule == ALL else 0
+    rows = intervals.select(*by, "start", "end", F.floor(F.col("start") / width).alias("bin"))
+    apart = F.col("start") > F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)) + gap
+    marked = rows.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int"))
+    marked = marked.withColumn("island", F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    local = marked.groupBy(*bin_, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    # of each bin: how far earlier ones reach, and which of its islands they take in; islands of a bin are apart and in order
+    bins = local.groupBy(*bin_).agg(F.max("end").alias("top"))
+    across = Window.partitionBy(*by).orderBy("bin")
+    reach = bins.select(*bin_, F.max("top").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
+    joined = local.join(reach, bin_).withColumn("fresh", F.coalesce(F.col("start") > F.col("reach") + gap, F.lit(True)).cast("int"))
+    ahead = joined.groupBy(*bin_).agg(F.sum("fresh").alias("n")).select(*bin_, (F.sum("n").over(across) - F.col("n")).alias("ahead"))
+    numbered = joined.withColumn("own", F.sum("fresh").over(Window.partitionBy(*bin_).orderBy("start")))
+    return numbered.join(ahead, bin_).groupBy(*by, (F.col("ahead") + F.col("own")).alias("island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def clamp(intervals: DataFrame, contigs: DataFrame, padding: int = 0) -> DataFrame:
@@ -70,35 +83,35 @@ def union(*lists: DataFrame) -> DataFrame:
     return out
 
 
-def _bins(start: Column | str, end: Column | str, width: int) -> Column:
-    start, end = (F.col(x) if isinstance(x, str) else x for x in (start, end))
-    return F.sequence(F.floor(start / width), F.greatest(F.floor(end / width), F.floor(start / width)))
-
-
-def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: int = BIN, small: bool | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, how: str = "inner", width: int | None = None, small: bool | None = None) -> DataFrame:
     """Pairs of overlapping rows of left and right (contig, start, end, others); right's columns get the prefix r_.
 
-    how is inner, left, left_semi or left_anti. Both sides are dealt to bins of width positions, and a pair that shares several bins is
-    given in the bin where its overlap begins. A small right side, BROADCAST_ROWS at most unless stated, is broadcast with the contig as
-    the key, so that left isn't shuffled.
+    how is inner, left, left_semi or left_anti. Rows meet by contig and bin, bins as wide as right's intervals ask for. A left row goes to the bin of its
+    start alone, and right rows to their bins and the one before, so a pair meets once; left rows longer than a bin go to all
+    of theirs, a pair counting where its overlap begins. A small right side, BROADCAST_ROWS at most unless stated, is broadcast, so that left isn't shuffled.
     """
+    if small is None or width is None:
+        told = right.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("end") - F.col("start") + 1).alias("mean")).first()
+        small = told["n"] <= BROADCAST_ROWS if small is None else small
+        width = max(LEAST_BIN, int(BIN_RATIO * (told["mean"] or 1))) if width is None else width
     r = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
-    hit = (F.col("contig") == F.col("r_contig")) & overlaps(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
-    if small is None:
-        small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small and how != "inner":
-        return left.join(F.broadcast(r), hit, how)
-    binned = r.withColumn("r_bin", F.explode(_bins("r_start", "r_end", width)))
-    rows = left if how == "inner" else left.withColumn("__id", F.monotonically_increasing_id())
-    dealt = rows.withColumn("bin", F.explode(_bins("start", "end", width)))
+    bins = lambda a, b, before=0: F.sequence(F.floor(a / width) - before, F.greatest(F.floor(b / width), F.floor(a / width)))
+    dealt = r.withColumn("r_bin", F.explode(bins(F.col("r_start"), F.col("r_end"), 1)))
+    dealt = F.broadcast(dealt) if small else dealt
+    start, end = F.col("start"), F.col("end")
+    long = end - start >= width
+    hit = (F.col("contig") == F.col("r_contig")) & (F.col("bin") == F.col("r_bin")) & overlaps(start, end, F.col("r_start"), F.col("r_end"))
     owner = F.col("bin") == F.floor(F.greatest("start", "r_start") / width)
-    pairs = dealt.join(F.broadcast(binned) if small else binned, (F.col("bin") == F.col("r_bin")) & hit & owner).drop("bin", "r_bin")
     if how == "inner":
-        return pairs
+        own = left.withColumn("bin", F.explode(F.when(long, bins(start, end)).otherwise(F.array(F.floor(start / width)))))
+        return own.join(dealt, hit & (~long | owner)).drop("bin", "r_bin")
+    brief = left.where(F.coalesce(~long, F.lit(True))).withColumn("bin", F.floor(start / width)).join(dealt, hit, how).drop("bin", "r_bin")
+    rows = left.where(long).withColumn("__id", F.monotonically_increasing_id())
+    pairs = rows.withColumn("bin", F.explode(bins(start, end))).join(dealt, hit & owner).drop("bin", "r_bin")
     met = pairs.select("__id").distinct()
     if how == "left":
-        return pairs.unionByName(rows.join(met, "__id", "left_anti"), allowMissingColumns=True).drop("__id")
-    return rows.join(met, "__id", how).drop("__id")
+        return brief.unionByName(pairs.drop("__id")).unionByName(rows.join(met, "__id", "left_anti").drop("__id"), allowMissingColumns=True)
+    return brief.unionByName(rows.join(met, "__id", how).drop("__id"))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -110,19 +123,20 @@ def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
 def subtract(include: DataFrame, exclude: DataFrame) -> DataFrame:
     """Pieces of each include interval outside all exclude intervals; pieces aren't merged.
 
-    The gaps between merged exclude intervals are themselves intervals, so what is left of an interval is its overlap with them.
+    Of each merged exclude interval that an interval meets comes the piece up to the next one; the first also gives the piece before it.
     """
-    holes = merge(exclude, ALL)
     w = Window.partitionBy("contig").orderBy("start")
-    last = F.lit(2**31 - 1)
-    after = holes.select("contig", (F.col("end") + 1).alias("start"), F.coalesce(F.lead("start").over(w) - 1, last).alias("end"))
-    before = holes.groupBy("contig").agg(F.min("start").alias("first")).where("first > 1").select("contig", F.lit(1).alias("start"), (F.col("first") - 1).alias("end"))
-    gaps = after.unionByName(before).where("start <= end")
-    own = include.select("contig", "start", "end")
-    untouched = own.join(F.broadcast(holes.select("contig").distinct()), "contig", "left_anti")
-    inner = own.alias("a").join(gaps.alias("g"), F.col("a.contig") == F.col("g.contig"))
-    left = inner.where(overlaps(F.col("a.start"), F.col("a.end"), F.col("g.start"), F.col("g.end"))).select("a.contig", F.greatest("a.start", "g.start").alias("start"), F.least("a.end", "g.end").alias("end"))
-    return left.unionByName(untouched)
+    holes = merge(exclude, ALL).withColumns({"before": F.lag("end").over(w), "after": F.lead("start").over(w)})
+    met = overlap_join(include.select("contig", "start", "end"), holes, "left")
+    span = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"))
+    first = F.coalesce(F.col("r_before") < F.col("start"), F.lit(True))
+    pieces = F.array(
+        F.when(F.col("r_start").isNull(), span(F.col("start"), F.col("end"))),
+        F.when(first, span(F.col("start"), F.col("r_start") - 1)),
+        span(F.col("r_end") + 1, F.least("end", F.col("r_after") - 1)),
+    )
+    cut = met.select("contig", F.explode(F.filter(pieces, lambda p: p["start"] <= p["end"])).alias("p"))
+    return cut.select("contig", "p.start", "p.end")
 
 
 def resolve(include: DataFrame | None, exclude: DataFrame | None, contigs: DataFrame, padding: int = 0, exclude_padding: int = 0, rule: str = ALL) -> DataFrame:

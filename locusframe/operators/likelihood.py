@@ -12,22 +12,36 @@ INFORMATIVE = 0.2
 KEY = ["site", "sample", "ev"]
 
 
-def best_alleles(ll: DataFrame, priority: str | None = None) -> DataFrame:
+def best_alleles(ll: DataFrame, priority: str | None = None, can_be_reference: bool = True) -> DataFrame:
     """(site, sample, ev, best, best_ll, second_ll, confidence, is_informative): the likeliest allele of each piece of evidence.
 
-    Ties go to the lower allele; with a priority column, to the higher priority within INFORMATIVE of the best, then the lower allele. One
-    grouped pass: maxima of structs, no sort of the groups.
+    Ties go to the lower allele. With a priority column, where the best leads by less than the threshold, the best and the second are those
+    with the highest priority among alleles within the threshold of the likeliest; of equal priorities the likeliest comes first, then the
+    second likeliest, then the lower allele. Without the reference, allele 0 can be neither, but stands in as the second of a lone
+    other allele. The threshold is INFORMATIVE, in natural units for likelihoods that to_natural_log made. One grouped pass over lists
+    that hold an entry an allele.
     """
-    best = F.max(F.struct(F.col("ll").alias("ll"), (-F.col("allele")).alias("low")))
-    grouped = ll.groupBy(*KEY).agg(best.alias("b"), F.max_by(F.col("ll"), F.struct("ll", -F.col("allele"))).alias("best_ll"))
+    limit = F.lit(INFORMATIVE * math.log(10) if _is_natural(ll) else INFORMATIVE)
+    rank = F.col(priority).cast("double") if priority else F.lit(0.0)
+    entry = F.struct((-F.col("ll")).alias("d"), F.col("allele").alias("allele"), F.col("ll").alias("ll"), rank.alias("p"))
+    listed = ll.groupBy(*KEY).agg(F.sort_array(F.collect_list(entry)).alias("x"))
+    if not can_be_reference:
+        others = F.filter("x", lambda a: a["allele"] != 0)
+        # nothing but the reference can be the second of a lone allele
+        listed = listed.withColumn("x", F.when(F.size(others) == 1, F.concat(others, F.filter("x", lambda a: a["allele"] == 0))).otherwise(others)).where(F.size(others) > 0)
+    first, second = F.get("x", F.lit(0)), F.get("x", F.lit(1))
     if priority:
-        near = ll.join(grouped.select(*KEY, "best_ll"), KEY).where(F.col("ll") >= F.col("best_ll") - INFORMATIVE)
-        grouped = near.groupBy(*KEY).agg(F.max(F.struct(F.col(priority).alias("p"), F.col("ll").alias("ll"), (-F.col("allele")).alias("low"))).alias("b"))
-    picked = grouped.select(*KEY, (-F.col("b.low")).alias("best"), F.col("b.ll").alias("best_ll"))
-    rest = ll.join(picked.select(*KEY, "best"), KEY).where("allele <> best").groupBy(*KEY).agg(F.max("ll").alias("second_ll"))
-    out = picked.join(rest, KEY, "left")
+        lead = first["ll"] - second["ll"]
+        near = F.filter("x", lambda a: first["ll"] - a["ll"] <= limit)
+        ordered = F.transform(near, lambda a: F.struct((-a["p"]).alias("r"), F.when(a["allele"] == first["allele"], 0).when(a["allele"] == second["allele"], 1).otherwise(2).alias("o"), a["allele"].alias("allele"), a["ll"].alias("ll")))
+        listed = listed.withColumn("x", F.when((F.size("x") > 1) & (lead < limit) & (F.lit(can_be_reference) | (second["allele"] != 0)), F.transform(F.array_sort(ordered), lambda a: F.struct((-a["ll"]).alias("d"), a["allele"].alias("allele"), a["ll"].alias("ll"), (-a["r"]).alias("p")))).otherwise(F.col("x")))
+    out = listed.select(*KEY, first["allele"].alias("best"), first["ll"].alias("best_ll"), second["ll"].alias("second_ll"))
     lead = F.when(F.col("best_ll") == F.col("second_ll"), F.lit(0.0)).otherwise(F.col("best_ll") - F.coalesce("second_ll", F.lit(float("-inf"))))
-    return out.withColumn("confidence", lead).withColumn("is_informative", F.col("confidence") > INFORMATIVE)
+    return out.withColumn("confidence", lead).withColumn("is_informative", F.col("confidence") > limit)
+
+
+def _is_natural(ll: DataFrame) -> bool:
+    return bool(ll.schema["ll"].metadata.get("natural"))
 
 
 def ranked_alleles(ll: DataFrame) -> DataFrame:
@@ -48,7 +62,10 @@ def by_fragment(ll: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def to_natural_log(ll: DataFrame) -> DataFrame:
-    return ll.withColumn("ll", F.col("ll") * math.log(10))
+    """ll in natural units, which its column remembers; doing so twice raises ValueError."""
+    if _is_natural(ll):
+        raise ValueError("the likelihoods are natural logarithms already")
+    return ll.withColumn("ll", (F.col("ll") * math.log(10)).alias("ll", metadata={"natural": True}))
 
 
 def allele_depths(best: DataFrame) -> DataFrame:

@@ -22,21 +22,25 @@ def reservoir(rows: DataFrame, by: list[str], keys: list[str], k: int, seed: int
 
 
 def leveling(rows: DataFrame, groups: list[str], by: list[str], keys: list[str], target: int, least: int = 1, seed: int = SEED) -> DataFrame:
-    """Rows of a group thinned to target in all by lowering its tallest stacks (by) to one level, none below least.
+    """Rows of a group thinned to target in all: one is taken from each stack (by) in turn, from the first in order, none below least.
 
-    The level is the largest at which the lowered stacks hold at most the target; the stacks that come first in order keep one more where there is room.
+    As many whole turns are taken as there is something to remove for; the first stacks that still can give one give the rest. Which rows
+    of a stack stay follows from a hash. A group within the target stays whole.
     """
-    heights = rows.groupBy(*groups, *by).agg(F.count(F.lit(1)).alias("n"))
-    listed = heights.groupBy(*groups).agg(F.sort_array(F.collect_list("n")).alias("h"), F.sum("n").alias("total"), F.max("n").alias("top"))
-    held = lambda level: F.aggregate("h", F.lit(0).cast("long"), lambda s, x: s + F.least(x, F.greatest(level, F.lit(least))))
-    levels = F.filter(F.sequence(F.lit(0).cast("long"), F.col("top")), lambda v: held(v) <= target)
-    quota = listed.withColumn("level", F.when(F.col("total") <= target, F.col("top")).otherwise(F.greatest(F.coalesce(F.element_at(levels, -1), F.lit(0)), F.lit(least))))
-    quota = quota.withColumn("spare", F.greatest(F.lit(0), F.lit(target) - held(F.col("level")))).select(*groups, "level", "spare")
+    heights = rows.groupBy(*groups, *by).agg(F.count(F.lit(1)).alias("n")).withColumn("can", F.greatest(F.lit(0), F.col("n") - least))
+    up = Window.partitionBy(*groups).orderBy("can", *by)
+    before = F.coalesce(F.sum("can").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    stacks = heights.withColumns({"excess": F.sum("n").over(Window.partitionBy(*groups)) - target, "given": before, "rest": F.count(F.lit(1)).over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))})
+    # the turns end within the least stack that they would not empty; none is left if all of it can't reach the target
+    whole = F.floor((F.col("excess") - F.col("given")) / F.col("rest"))
+    ends = stacks.where("given + can * rest > excess").groupBy(*groups).agg(F.min_by(F.struct(whole.alias("turns"), (F.col("excess") - F.col("given") - whole * F.col("rest")).alias("spare")), F.struct("can", *by)).alias("t"))
+    stacks = stacks.join(ends, groups, "left")
+    more = F.col("can") > F.col("t.turns")
     place = Window.partitionBy(*groups).orderBy(*by)
-    stacks = heights.join(quota, groups).withColumn("more", F.when(F.col("n") > F.col("level"), 1).otherwise(0))
-    stacks = stacks.withColumn("quota", F.col("level") + F.when((F.col("more") == 1) & (F.sum("more").over(place) <= F.col("spare")), 1).otherwise(0))
+    taken = F.when(F.col("excess") <= 0, F.lit(0)).when(F.col("t").isNull(), F.col("can")).otherwise(F.least("can", F.col("t.turns")) + F.when(more & (F.sum(more.cast("int")).over(place) <= F.col("t.spare")), 1).otherwise(0))
+    quota = stacks.withColumn("quota", F.col("n") - taken).select(*groups, *by, "quota")
     w = Window.partitionBy(*groups, *by).orderBy(*_order(seed, keys))
-    return rows.withColumn("__rank", F.row_number().over(w)).join(stacks.select(*groups, *by, "quota"), [*groups, *by]).where("__rank <= quota").select(*rows.columns)
+    return rows.withColumn("__rank", F.row_number().over(w)).join(quota, [*groups, *by]).where("__rank <= quota").select(*rows.columns)
 
 
 def permutation(rows: DataFrame, keys: list[str], k: int | None = None, seed: int = SEED) -> DataFrame:

@@ -194,10 +194,13 @@ def dirichlet_posterior(log10: np.ndarray, prior: float = 1.0) -> np.ndarray:
 
 
 def pseudo_depth(ll: DataFrame) -> DataFrame:
-    """(site, sample, allele, dd, df): posterior pseudo-counts less the prior, and their shares; one site and sample is a group."""
+    """(site, sample, allele, dd, df): posterior pseudo-counts less the prior, and their shares; one site and sample is a group.
+
+    An allele without a likelihood for some evidence can't have given rise to it.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="allele", columns="ev", values="ll", aggfunc="max", sort=True).fillna(0.0)
+        wide = pdf.pivot_table(index="allele", columns="ev", values="ll", aggfunc="max", sort=True).fillna(-np.inf)
         dd = dirichlet_posterior(wide.to_numpy()) - 1.0
         return pd.DataFrame({"site": pdf["site"].iloc[0], "sample": pdf["sample"].iloc[0], "allele": wide.index, "dd": dd, "df": dd / max(dd.sum(), 1e-300)})
 

@@ -29,7 +29,7 @@ from lineitem
 """
 INTERVALS = "select o_orderkey as iv_id, concat('chr', cast(1 + o_custkey % 5 as string)) as contig, cast(1 + (o_orderkey*53) % 20000 as int) as s, cast(20 + (o_orderkey*53) % 20000 + o_custkey % 40 as int) as e from orders"
 EXCLUDED = "select o_orderkey as iv_id, concat('chr', cast(1 + o_custkey % 4 as string)) as contig, cast(1 + (o_orderkey*71) % 20000 as int) as s, cast(5 + (o_orderkey*71) % 20000 + o_custkey % 25 as int) as e from orders"
-GENOTYPES = "select site, sample, case k % 7 when 0 then '1/1' when 1 then '0/1' when 2 then '0/1' when 3 then './.' else '0/0' end as gt, cast(case when k % 5 = 0 then null else (k*13) % 60 end as int) as gq, cast((k*7) % 50 as int) as dp, cast(k % 9 as int) as ad0, cast(k % 4 as int) as ad1 from (select cast(o_custkey % 400 as int) as site, concat('s', cast(o_orderkey % 12 as string)) as sample, min(o_orderkey) as k from orders group by 1, 2) t"
+GENOTYPES = "select site, sample, case when site % 8 = 3 and sample = 's1' then '0/1' when site % 16 = 3 and sample = 's0' then '0/1' when site % 8 = 3 then '0/0' when k % 7 = 0 then '1/1' when k % 7 in (1, 2) then '0/1' when k % 7 = 3 then './.' else '0/0' end as gt, cast(case when k % 5 = 0 then null else (k*13) % 60 end as int) as gq, cast((k*7) % 50 as int) as dp, cast(k % 9 as int) as ad0, cast(k % 4 as int) as ad1 from (select cast(o_custkey % 400 as int) as site, concat('s', cast(o_orderkey % 12 as string)) as sample, min(o_orderkey) as k from orders group by 1, 2) t"
 LOGLIK = "select site, sample, ev, allele, max(ll) as ll from (select cast(l_partkey % 300 as int) as site, concat('s', cast(l_suppkey % 3 as string)) as sample, l_orderkey as ev, a.allele as allele, cast(0 - ((l_orderkey*7 + l_partkey*3 + a.allele*a.allele*5) % 40) as double) / 10.0e0 as ll from lineitem cross join (select 0 as allele union all select 1 union all select 2) a) t group by 1, 2, 3, 4"
 #: Columns that evidence carries besides its likelihoods.
 EVIDENCE = [

@@ -115,13 +115,20 @@ _FILTERS: list[tuple[str, Callable[[], Column], str | None]] = [
 ]
 
 
+#: A number that tells reads apart; its sums by decision tell which reads were kept.
+_MARK = "cast(start_pos as bigint) * 1009 + mapq * 131 + isize * 17 + flags"
+
+
 def _decisions(spark: SparkSession, sf_dir: str, test: Callable[[], Column]) -> DataFrame:
-    marked = fx.reads(spark, sf_dir).select("contig", test().alias("k"))
-    return marked.groupBy("contig").agg(F.count_if("k").alias("n_kept"), F.count_if(~F.col("k")).alias("n_dropped"), F.count_if(F.col("k").isNull()).alias("n_refused"))
+    mark = F.col("start").cast("long") * 1009 + F.col("mapq") * 131 + F.col("isize") * 17 + F.col("flags")
+    marked = fx.reads(spark, sf_dir).select("contig", test().alias("k"), mark.alias("mark"))
+    sums = [F.sum(F.when(k, F.col("mark"))).alias(n) for n, k in (("kept_marks", F.col("k")), ("dropped_marks", ~F.col("k")), ("refused_marks", F.col("k").isNull()))]
+    return marked.groupBy("contig").agg(F.count_if("k").alias("n_kept"), F.count_if(~F.col("k")).alias("n_dropped"), F.count_if(F.col("k").isNull()).alias("n_refused"), *sums)
 
 
+_MARKS = ", ".join(f"cast(sum(mark) filter (where {k}) as bigint) as {n}" for n, k in (("kept_marks", "k"), ("dropped_marks", "not k"), ("refused_marks", "k is null")))
 for _name, _test, _sql in _FILTERS:
-    query(f"filter_{_name}", _sql and f"{_READS} select contig, count(*) filter (where k) as n_kept, count(*) filter (where not k) as n_dropped, count(*) filter (where k is null) as n_refused from (select contig, {_sql} as k from r) t group by contig")(lambda spark, sf_dir, test=_test: _decisions(spark, sf_dir, test))
+    query(f"filter_{_name}", _sql and f"{_READS} select contig, count(*) filter (where k) as n_kept, count(*) filter (where not k) as n_dropped, count(*) filter (where k is null) as n_refused, {_MARKS} from (select contig, {_sql} as k, {_MARK} as mark from r) t group by contig")(lambda spark, sf_dir, test=_test: _decisions(spark, sf_dir, test))
 
 
 @query("filter_rejection_counts", f"{_READS} select case " + " ".join(f"when not ({p}) then '{n}'" for n, p in _WELL) + " end as filter, count(*) as n_rejected from r group by 1")
@@ -201,8 +208,7 @@ def _spans(spark, sf_dir):
 
 @query("intervals_overlap_join", f"{_READS}, {_IV} select iv_id, count(*) as n_reads, cast(sum(mapq) as bigint) as mapq_sum from r join iv on r.contig = iv.contig and r.start_pos <= iv.e and iv.s <= r.end_pos where not um group by iv_id")
 def overlap_join(spark, sf_dir):
-    # reads and intervals are short, and dense at all orders: narrow bins hold few pairs that don't overlap
-    return intervals.overlap_join(_spans(spark, sf_dir), fx.intervals(spark, sf_dir), width=200).groupBy(F.col("r_iv_id").alias("iv_id")).agg(F.count(F.lit(1)).alias("n_reads"), F.sum("mapq").alias("mapq_sum"))
+    return intervals.overlap_join(_spans(spark, sf_dir), fx.intervals(spark, sf_dir)).groupBy(F.col("r_iv_id").alias("iv_id")).agg(F.count(F.lit(1)).alias("n_reads"), F.sum("mapq").alias("mapq_sum"))
 
 
 @query("intervals_semi_join", f"{_READS}, {_IV}, {_M} select contig, count(*) as n from r where not um and exists (select 1 from m where m.contig = r.contig and r.start_pos <= m.e and m.s <= r.end_pos) group by contig")
@@ -274,23 +280,25 @@ def clip_low_quality(spark, sf_dir):
     return clipping.low_quality_ends(r, 5).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("bases")).alias("bases"), F.sum("start").alias("starts"))
 
 
-# --- pileup: reads whose cigars the SQL side can walk without order
+# --- pileup: the SQL walks cigars by running sums over their elements
 
-_PLAIN = "not um and (flags & 1536) = 0 and n = 50 and n_quals = 50 and cigar in ('50M', '5S45M', '20M4D30M')"
-_FRAG = "isize <> 0 and pr and not um and not mum and rv <> mrv and case when rv then end_pos > mate_start else start_pos <= mate_start + isize end"
-_PILE = f"""{_READS}, q as (select *, case when {_FRAG} and isize <= 100 then case when rv then mate_start - 1 else start_pos + abs(isize) end end as bound from r where {_PLAIN}),
- seg as (select *, unnest(case cigar when '50M' then [{{'o': 'M', 'r': 0, 'x': 0, 'l': 50}}] when '5S45M' then [{{'o': 'M', 'r': 0, 'x': 5, 'l': 45}}] else [{{'o': 'M', 'r': 0, 'x': 0, 'l': 20}}, {{'o': 'D', 'r': 20, 'x': 19, 'l': 4}}, {{'o': 'M', 'r': 24, 'x': 20, 'l': 30}}] end) as g from q),
- pl as (select name, contig, flags, mapq, start_pos + g.r + cast(k as int) as pos, g.o as op, case when g.o = 'D' then g.x else g.x + cast(k as int) end as off, bases, q0, rv, bound from (select *, unnest(generate_series(0, g.l - 1)) as k from seg) t),
- pile as (select *, case when op = 'D' then 'D' else substr(bases, off + 1, 1) end as base, case when op = 'D' then 16 else (q0 + off * 7) % 41 end as qual from pl where bound is null or (case when rv then pos > bound else pos < bound end))"""
+_ADAPTOR = "isize <= 100 and isize <> 0 and pr and not um and not mum and rv <> mrv and case when rv then end_pos > mate_start else start_pos <= mate_start + isize end"
+_ENDS_DELETED = "regexp_matches(regexp_replace(cigar, '[0-9]+[SHP]', '', 'g'), '^([0-9]+I)*[0-9]+D|[0-9]+D([0-9]+I)*$')"
 
 
-def _pile(spark, sf_dir):
-    r = fx.reads(spark, sf_dir).where("length(bases) = 50 and size(quals) = 50 and cigar in ('50M', '5S45M', '20M4D30M')")
-    return pileup.elements(pileup.passing(r))
+def _piled(reads: str) -> str:
+    return f"""{_READS}, q as (select *, row_number() over () as rid, case when {_ADAPTOR} then case when rv then mate_start - 1 else start_pos + abs(isize) end end as bound from r where {reads} and not {_ENDS_DELETED}),
+ el as (select *, cast(regexp_extract_all(cigar, '([0-9]+)[MIDNSHP=X]', 1)[i] as int) as l, regexp_extract_all(cigar, '[0-9]+([MIDNSHP=X])', 1)[i] as o from (select *, unnest(generate_series(1, len(regexp_extract_all(cigar, '[0-9]+[MIDNSHP=X]')))) as i from q) t),
+ seg as (select *, coalesce(sum(case when o in ('M', 'D', 'N', '=', 'X') then l end) over w, 0) as at_ref, coalesce(sum(case when o in ('M', 'I', 'S', '=', 'X') then l end) over w, 0) as at_read from el window w as (partition by rid order by i rows between unbounded preceding and 1 preceding)),
+ pl as (select *, start_pos + cast(at_ref as int) + cast(k as int) as pos, cast(case when o = 'D' then greatest(at_read - 1, 0) else at_read + k end as int) as off from (select *, unnest(generate_series(0, l - 1)) as k from seg where o in ('M', '=', 'X', 'D')) t),
+ pile as (select *, o as op, case when o = 'D' then 'D' else substr(bases, off + 1, 1) end as base, case when o = 'D' then 16 when off < n_quals then (q0 + off * 7) % 41 end as qual from pl where bound is null or (case when rv then pos > bound else pos < bound end))"""
+
 
+_PILE = _piled("not um and (flags & 1536) = 0")
 
-def _pile_all(spark, sf_dir):
-    """Of every read but those that pileup.elements refuses; what has SQL keeps to _pile, whose cigars the SQL can walk."""
+
+def _pile(spark, sf_dir):
+    """Of every read but those that pileup.elements refuses."""
     return pileup.elements(pileup.passing(fx.reads(spark, sf_dir).where(~pileup.ends_in_deletion())))
 
 
@@ -319,9 +327,12 @@ def within_targets(spark, sf_dir):
     return pileup.route(pileup.depth(_pile(spark, sf_dir)), intervals.merge(fx.intervals(spark, sf_dir)), False)
 
 
-@query("pileup_pair_fix")
+_FIXED = "ranked as (select *, count(*) over (partition by contig, pos, name) as n2, row_number() over (partition by contig, pos, name order by case when (flags & 64) <> 0 then 0 else 1 end, flags, off, base, qual nulls first) as at2 from pile), pairs as (select contig, pos, name, max(case when at2 = 1 then base end) as bx, max(case when at2 = 2 then base end) as yb, max(case when at2 = 1 then qual end) as x, max(case when at2 = 2 then qual end) as y from ranked where n2 = 2 group by 1, 2, 3), fixed as (select r.contig, case when x is null or y is null then qual when bx = yb then case when at2 = 1 then least(x + y, 93) else 0 end when (x >= y) = (at2 = 1) then cast(trunc(greatest(x, y) * 0.8e0) as int) else 0 end as qual from ranked r left join pairs p on r.contig = p.contig and r.pos = p.pos and r.name = p.name)"
+
+
+@query("pileup_pair_fix", f"{_PILE}, {_FIXED} select contig, cast(sum(qual) as bigint) as qual_sum, count(*) filter (where qual = 0) as n_zero from fixed group by contig")
 def pair_fix(spark, sf_dir):
-    return pileup.fix_overlapping_pairs(_pile_all(spark, sf_dir)).groupBy("contig").agg(F.sum("qual").alias("qual_sum"), F.count_if(F.col("qual") == 0).alias("n_zero"))
+    return pileup.fix_overlapping_pairs(_pile(spark, sf_dir)).groupBy("contig").agg(F.sum("qual").alias("qual_sum"), F.count_if(F.col("qual") == 0).alias("n_zero"))
 
 
 # --- likelihoods and annotations
@@ -442,9 +453,14 @@ def original_alignment(spark, sf_dir):
     return annotate.original_alignment(ev, tlod)
 
 
-@query("annotation_OrientationBias", _ev("select site, sample, allele, count(*) filter (where rv <> fi) as f1r2, count(*) filter (where rv = fi) as f2r1 from (select site, sample, name, best as allele, arg_min(mapq, ev) as mq, arg_min(qual, ev) as q, arg_min(is_reverse, ev) as rv, arg_min(is_first, ev) as fi from ev where is_informative group by 1, 2, 3, 4) t where mq not in (0, 255) and q >= 20 group by 1, 2, 3"))
+_FRAGMENTS = "f as (select site, sample, concat('f', cast(ev % 50 as string)) as name, allele, sum(ll) as ll from ll group by 1, 2, 3, 4), fk as (select *, row_number() over (partition by site, sample, name order by ll desc, allele) as rn from f), fb as (select site, sample, name, max(case when rn = 1 then allele end) as allele from fk group by 1, 2, 3 having round(max(case when rn = 1 then ll end) - max(case when rn = 2 then ll end), 6) > 0.2e0), fr as (select site, sample, name, arg_min(mapq, ev) as mq, arg_min(qual, ev) as q, arg_min(is_reverse, ev) as rv, arg_min(is_first, ev) as fi from ev group by 1, 2, 3)"
+
+
+@query("annotation_OrientationBias", f"with {_BEST}, {_FRAGMENTS} select site, sample, allele, count(*) filter (where rv <> fi) as f1r2, count(*) filter (where rv = fi) as f2r1 from fb join fr using (site, sample, name) where mq not in (0, 255) and q >= 20 group by 1, 2, 3")
 def orientation_bias(spark, sf_dir):
-    return annotate.orientation_bias(fx.evidence(spark, sf_dir))
+    # likelihoods are tenths: to six decimals a lead of 0.2 is the same however its sum was rounded
+    ll = fx.likelihoods(spark, sf_dir).withColumn("ll", F.round(F.col("ll"), 6))
+    return annotate.orientation_bias(ll, fx.evidence(spark, sf_dir))
 
 
 @query("annotation_FragmentDepth", _ev(", f as (select site, sample, ev % 50 as fr, allele, round(sum(ll), 6) as ll from ll group by 1, 2, 3, 4), g as (select *, row_number() over (partition by site, sample, fr order by ll desc, allele) as rn from f) select site, sample, b as allele, count(*) as fad from (select site, sample, fr, max(case when rn = 1 then allele end) as b, max(case when rn = 1 then ll end) - max(case when rn = 2 then ll end) as c from g group by 1, 2, 3) t where round(c, 6) > 0.2e0 group by 1, 2, 3").replace(") ,", "),").replace("u as (select * from ev where is_informative and mapq not in (0, 255)) , f", "u as (select 1), f"))
@@ -589,15 +605,21 @@ def reservoir(spark, sf_dir):
     return sample.reservoir(fx.reads(spark, sf_dir).select("contig", "name", "start", "mapq", "cigar", "flags").distinct(), ["contig"], ["name", "start", "cigar", "flags", "mapq"], 50)
 
 
-@query("sample_leveling", f"{_READS}, h as (select contig, start_pos % 10 as stack, count(*) as n from r where not um group by 1, 2) select contig, least(300, cast(sum(n) as int)) as n from h group by contig")
+@query("sample_leveling", f"""{_READS}, h as (select contig, start_pos % 10 as stack, count(*) as n, sum(count(*)) over (partition by contig) - 300 as excess from r where not um group by 1, 2),
+ t as (select contig, max(turns) as turns from (select contig, turns, sum(least(n - 1, turns)) as given, max(excess) as excess from h, (select unnest(generate_series(0, (select max(n) from h))) as turns) g group by 1, 2) x where given <= greatest(excess, 0) group by 1),
+ u as (select h.*, turns, excess - sum(least(n - 1, turns)) over (partition by contig) as spare, sum(case when n - 1 > turns then 1 else 0 end) over (partition by contig order by stack) as place from h join t using (contig))
+ select contig, stack, cast(n - least(n - 1, turns) - case when excess > 0 and n - 1 > turns and place <= spare then 1 else 0 end as int) as n from u""")
 def leveling(spark, sf_dir):
     r = _spans(spark, sf_dir).withColumn("stack", F.col("start") % 10)
-    return sample.leveling(r, ["contig"], ["stack"], ["name", "start", "mapq"], 300).groupBy("contig").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    return sample.leveling(r, ["contig"], ["stack"], ["name", "start", "mapq"], 300).groupBy("contig", "stack").agg(F.count(F.lit(1)).cast("int").alias("n"))
+
+
+_TAPS = "taps as (select i, w / sum(w) over () as w from (select i, exp(-i * i / (2 * 17.0e0 * 17.0e0)) as w from (select cast(unnest(generate_series(-50, 50)) as int) as i) a) b)"
 
 
-@query("region_band_pass")
+@query("region_band_pass", f"{_PILE}, d as (select contig, pos, case when count(*) > 4 then 0.9e0 else 0.0e0 end as prob from pile group by 1, 2), {_TAPS} select contig, pos, round(sum(prob), 9) as prob from (select contig, pos, 0.0e0 as prob from d union all select contig, pos + i, prob * w from d, taps where prob > 0 and pos + i between 1 and 20000) t group by 1, 2")
 def band_pass(spark, sf_dir):
-    d = pileup.depth(_pile_all(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
+    d = pileup.depth(_pile(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
     return regions.band_pass(d, fx.contigs(spark)).withColumn("prob", F.round("prob", 9))
 
 
@@ -609,7 +631,7 @@ def region_runs(spark, sf_dir):
 
 @query("region_cut")
 def region_cut(spark, sf_dir):
-    d = pileup.depth(_pile_all(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
+    d = pileup.depth(_pile(spark, sf_dir)).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
     return regions.with_padding(regions.regions(regions.band_pass(d, fx.contigs(spark))), fx.contigs(spark))
 
 
@@ -623,17 +645,19 @@ def unmark(spark, sf_dir):
     return tools.unmark_duplicates(fx.reads(spark, sf_dir)).groupBy("flags").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("tool_fix_misencoded", f"{_READS} select contig, cast(sum(q0 % 41 + 3) as bigint) as first_sum from r where n_quals > 0 group by contig")
+@query("tool_fix_misencoded", f"{_READS} select contig, cast(sum(list_sum(list_transform(generate_series(0, n_quals - 1), lambda i: (i + 1) * ((q0 + i * 7) % 41 + 3)))) as bigint) as qual_marks from r where n_quals > 0 group by contig")
 def fix_misencoded(spark, sf_dir):
     raised = fx.reads(spark, sf_dir).where("size(quals) > 0").withColumn("quals", F.transform("quals", lambda q: q + 34))
-    return tools.fix_misencoded_qualities(raised).groupBy("contig").agg(F.sum(F.get("quals", F.lit(0))).alias("first_sum"))
+    fixed = tools.fix_misencoded_qualities(raised)
+    marks = F.aggregate(F.transform("quals", lambda q, i: (i + 1) * q), F.lit(0), lambda s, x: s + x)
+    return fixed.groupBy("contig").agg(F.sum(marks).alias("qual_marks"))
 
 
-@query("tool_original_alignment", f"{_READS} select contig, count(*) as n, count(distinct case when um then '*,0,*,*,0,0;' else 'chr' || (ref_idx + 1) || ',' || start_pos || ',' || (case when rv then '-' else '+' end) || ',' || cigar || ',' || mapq || ',' || coalesce(nm, 'null') || ';' end) as n_oa from r where pr group by contig")
+@query("tool_original_alignment", f"{_READS} select contig, case when um then '*,0,*,*,0,0;' else 'chr' || (ref_idx + 1) || ',' || start_pos || ',' || (case when rv then '-' else '+' end) || ',' || cigar || ',' || mapq || ',' || coalesce(nm, 'null') || ';' end as oa, count(*) as n from r where pr group by 1, 2")
 def original_tags(spark, sf_dir):
     r = fx.reads(spark, sf_dir).where(rd.is_paired())
     out = tools.add_original_alignment(r, [c for _, c, _ in fx.CONTIGS])
-    return out.groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(rd.tag("OA")).alias("n_oa"))
+    return out.groupBy("contig", rd.tag("OA").alias("oa")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("walker_interval", f"{_READS}, {_IV}, {_M} select m.contig, m.s as r_start, count(*) as n from r join m on r.contig = m.contig and r.start_pos <= m.e and m.s <= r.end_pos group by 1, 2")
@@ -641,9 +665,12 @@ def interval_walker(spark, sf_dir):
     return tools.interval_walker(fx.reads(spark, sf_dir), intervals.merge(fx.intervals(spark, sf_dir))).groupBy("contig", "r_start").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("walker_locus")
+_WELLFORMED = " and ".join(f"({p})" for _, p in _WELL)
+
+
+@query("walker_locus", f"{_piled(f'not um and {_WELLFORMED}')}, {_IV}, {_M}, d as (select contig, pos, count(*) as depth from pile group by contig, pos) select contig, pos, depth from d where exists (select 1 from m where m.contig = d.contig and d.pos between m.s and m.e)")
 def locus_walker(spark, sf_dir):
-    r = fx.reads(spark, sf_dir).where(~F.col("cigar").rlike("[SI][0-9]+D|^[0-9]+I[0-9]+D"))
+    r = fx.reads(spark, sf_dir).where(~pileup.ends_in_deletion())
     return tools.locus_walker(r, HEADER, fx.intervals(spark, sf_dir))
 
 

@@ -11,6 +11,7 @@ from locusframe.operators import reads as rd
 
 #: Positions in a bin of the written layout.
 BIN = 1_000_000
+REACH = "_reach"
 
 
 def read_bed(spark: SparkSession, path: str) -> DataFrame:
@@ -92,18 +93,24 @@ def sequence(fasta: DataFrame, contig: str, start: int, end: int) -> str:
 
 
 def write_reads(reads: DataFrame, path: str) -> None:
-    """Reads by contig and bin, in coordinate order within files, so that interval scans prune folders and row groups."""
+    """Reads by contig and bin, in coordinate order within files, so that interval scans prune folders and row groups.
+
+    Beside them stands how far the reads of each bin reach.
+    """
+    spark = reads.sparkSession
     keyed = reads.withColumn("bin", F.floor(F.col("start") / BIN).cast("int"))
     keyed.repartition("contig", "bin").sortWithinPartitions("contig", "bin", "start", "name").write.partitionBy("contig", "bin").parquet(path)
+    spark.read.parquet(path).groupBy("contig", "bin").agg(F.max(rd.end()).alias("reach")).coalesce(1).write.parquet(f"{path}/{REACH}")
 
 
-def scan_reads(spark: SparkSession, path: str, contig: str | None = None, start: int = 1, end: int = 2**31 - 1, longest: int = 100_000) -> DataFrame:
-    """All reads, or those that overlap a span of a contig; no read may span more than `longest` positions."""
+def scan_reads(spark: SparkSession, path: str, contig: str | None = None, start: int = 1, end: int = 2**31 - 1) -> DataFrame:
+    """All reads, or those that overlap a span of a contig, from the bins that reach it, however long their reads."""
     out = spark.read.parquet(path)
     if contig is None:
         return out
-    bins = F.col("bin").between((start - longest) // BIN, end // BIN)
-    return out.where((F.col("contig") == contig) & bins & (F.col("start") <= end) & (rd.end() >= start))
+    known = spark.read.parquet(f"{path}/{REACH}").where((F.col("contig") == contig) & (F.col("reach") >= start) & (F.col("bin") <= end // BIN))
+    bins = [r["bin"] for r in known.select("bin").collect()]  # a contig's bins
+    return out.where((F.col("contig") == contig) & F.col("bin").isin(bins) & (F.col("start") <= end) & (rd.end() >= start))
 
 
 def unmapped_tail(reads: DataFrame) -> DataFrame:
