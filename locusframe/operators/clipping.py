@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.operators import cigar as cg
+
 WRITE_NS, WRITE_Q0S, WRITE_NS_Q0S, SOFTCLIP, HARDCLIP, REVERT_SOFT = "WRITE_NS", "WRITE_Q0S", "WRITE_NS_Q0S", "SOFTCLIP_BASES", "HARDCLIP_BASES", "REVERT_SOFTCLIPPED_BASES"
 _ELEMENT = re.compile(r"([0-9]+)([MIDNSHP=X])")
 Elements = list[tuple[int, str]]
@@ -101,10 +103,6 @@ def start_shift(elements: Elements, clipped: int) -> int:
     return shift
 
 
-def revert_soft(elements: Elements) -> Elements:
-    return build([(n, "M" if op == "S" else op) for n, op in elements])
-
-
 def _rewrite(reads: DataFrame, bounds: Callable[[pd.DataFrame], list[tuple[int, int] | None]], how: str) -> DataFrame:
     """Applies one clip a read: bounds gives the read bases to clip, start and end exclusive, or None."""
     schema = reads.schema
@@ -218,8 +216,16 @@ def soft_clipped_bases(reads: DataFrame) -> DataFrame:
 def revert_soft_clips(reads: DataFrame) -> DataFrame:
     """Soft clips counted as aligned, the start moved back, but not before the contig: bases that would hang over are cut off."""
     lead = F.coalesce(F.regexp_extract("cigar", r"^(?:[0-9]+H)?([0-9]+)S", 1).try_cast("int"), F.lit(0))
-    new = F.udf(lambda c: text(revert_soft(parse(c))), "string")  # few distinct cigars; the parse is not expressible in SQL
-    moved = reads.withColumns({"start": F.col("start") - lead, "cigar": F.when(F.col("cigar").contains("S"), new("cigar")).otherwise(F.col("cigar"))})
+    aligned = F.transform(cg.elements(), lambda e: F.struct(e["len"].alias("len"), F.when(e["op"] == "S", "M").otherwise(e["op"]).alias("op")))
+
+    def joined(done: Column, e: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        same = (F.size(done) > 0) & (last["op"] == e["op"])
+        longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct((last["len"] + e["len"]).alias("len"), e["op"].alias("op"))))
+        return F.when(same, longer).otherwise(F.concat(done, F.array(e)))
+
+    new = F.array_join(F.transform(F.aggregate(aligned, F.array().cast("array<struct<len:int,op:string>>"), joined), lambda e: F.concat(e["len"].cast("string"), e["op"])), "")
+    moved = reads.withColumns({"start": F.col("start") - lead, "cigar": F.when(F.col("cigar").contains("S"), new).otherwise(F.col("cigar"))})
     over = F.col("start") < 1
     return moved.where(~over).unionByName(_rewrite(moved.where(over), lambda pdf: [(0, 1 - s) for s in pdf["start"]], HARDCLIP))
 

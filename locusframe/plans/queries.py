@@ -442,6 +442,9 @@ def _rank_query(value: str, name: str) -> Callable[[DataFrame], DataFrame]:
 
 for _n, _v in (("BaseQualityRankSum", "qual"), ("MappingQualityRankSum", "mapq"), ("ReadPosRankSum", "read_pos"), ("ClippingRankSum", "hard_clipped"), ("LikelihoodRankSum", "best_ll")):
     _annotation(_n, _ranksum(_v, "z") if _v != "best_ll" else _ranksum("cast(best_ll as float)", "z"), _rank_query(_v, "z"))
+for _n in ("BaseQualityRankSum", "MappingQualityRankSum", "ReadPosRankSum", "ClippingRankSum", "LikelihoodRankSum"):
+    # with the exact test of small sites, which SQL has no normal quantile for
+    query(f"annotation_{_n}_exact")(lambda spark, sf_dir, name=_n: annotate.REGISTRY[name](fx.evidence(spark, sf_dir)))
 for _n in ("AS_BaseQualityRankSum", "AS_MappingQualityRankSum", "AS_ReadPosRankSum"):
     _annotation(_n, None)
 
@@ -635,6 +638,37 @@ def region_cut(spark, sf_dir):
     return regions.with_padding(regions.regions(regions.band_pass(d, fx.contigs(spark))), fx.contigs(spark))
 
 
+@query("walker_assembly_region")
+def assembly_region(spark, sf_dir):
+    r = fx.reads(spark, sf_dir).where(~pileup.ends_in_deletion())
+    activity = lambda pile: pileup.depth(pile).select("contig", "pos", F.when(F.col("depth") > 4, F.lit(0.9)).otherwise(F.lit(0.0)).alias("prob"))
+    held = tools.assembly_region_walker(r, HEADER, fx.contigs(spark), activity)
+    return held.groupBy("contig", "r_region_start", "r_region_end", "r_active").agg(F.count(F.lit(1)).alias("n_reads"), F.sum("start").alias("starts"))
+
+
+@query("walker_variant", f"with {_IV}, {_M}, l as (select contig, s, e, lag(s) over (partition by contig order by s, e) as ps, lag(e) over (partition by contig order by s, e) as pe from m) select ex.iv_id, l.contig, l.s as r_start from ex join l on ex.contig = l.contig and ex.s <= l.e and l.s <= ex.e where not coalesce(ex.s <= pe and ps <= ex.e, false)")
+def variant_walker(spark, sf_dir):
+    found = tools.variant_walker(fx.intervals(spark, sf_dir, fx.EXCLUDED), intervals.merge(fx.intervals(spark, sf_dir)))
+    return found.select("iv_id", "contig", "r_start")
+
+
+@query("walker_multiple_passes", f"{_READS} select 0 as pass, contig, count(*) as n from r where not um group by contig union all select 1 as pass, contig, count(*) as n from r where (flags & 1024) <> 0 group by contig")
+def multiple_passes(spark, sf_dir):
+    count = lambda rows, i: rows.groupBy("contig").agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("pass"), "contig", "n")
+    tests = (filters.mapped(), ~filters.not_duplicate())
+    first, second = tools.multiple_passes(fx.reads(spark, sf_dir), [lambda rows, i, t=t: count(rows.where(t), i) for t in tests])
+    return first.unionByName(second)
+
+
+@query("scalar_normalise", _ev("select site, sample, ev, allele, round(ll - mx - log10(sum(pow(10.0e0, ll - mx)) over (partition by site, sample, ev)), 6) as ll from (select *, max(ll) over (partition by site, sample, ev) as mx from ll) t"))
+def scalar_normalise(spark, sf_dir):
+    ll = fx.likelihoods(spark, sf_dir)
+    total = scalar.log10_sum_log10(F.col("v"))
+    listed = ll.groupBy("site", "sample", "ev").agg(F.collect_list(F.struct("allele", "ll")).alias("x"))
+    listed = listed.withColumn("v", F.transform("x", lambda e: e["ll"])).withColumn("total", total)
+    return listed.select("site", "sample", "ev", "total", F.explode("x").alias("e")).select("site", "sample", "ev", "e.allele", F.round(F.col("e.ll") - F.col("total"), 6).alias("ll"))
+
+
 @query("tool_print_reads", f"{_READS} select contig, count(*) as n, cast(sum(start_pos) as bigint) as starts from r where {' and '.join(f'({p})' for _, p in _WELL)} group by contig")
 def print_reads(spark, sf_dir):
     return tools.print_reads(fx.reads(spark, sf_dir), HEADER).groupBy("contig").agg(F.count(F.lit(1)).alias("n"), F.sum("start").alias("starts"))

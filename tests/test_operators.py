@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +142,8 @@ def test_interval_algebra_against_sets_of_positions(spark):
     for rule in (intervals.ALL, intervals.OVERLAPPING_ONLY):
         m = intervals.merge(a, rule).collect()
         assert _positions(m) == pa and sum(r.end - r.start + 1 for r in m) == len(pa)
+        for width in (1, 7, 50):
+            assert sorted(intervals.merge(a, rule, width=width).collect()) == sorted(m)
     assert _positions(intervals.subtract(a, b).collect()) == pa - pb
     assert _positions(intervals.intersect(a, b).collect()) == pa & pb
     assert _positions(intervals.shards(intervals.merge(a), 4).collect()) == pa
@@ -159,7 +162,14 @@ def test_overlap_joins_have_no_nested_loop(spark):
     a = spark.createDataFrame([("chr1", 1, 5)], "contig string, start int, end int")
     for how in ("inner", "left_semi"):
         for small in (True, False):
-            assert "NestedLoop" not in intervals.overlap_join(a, a, how, small=small)._jdf.queryExecution().executedPlan().toString()
+            plan = intervals.overlap_join(a, a, how, small=small)._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and not _contig_only(plan)
+    assert not _contig_only(intervals.subtract(a, a)._jdf.queryExecution().executedPlan().toString())
+
+
+def _contig_only(plan):
+    """Joins with the contig as their only key."""
+    return re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[contig#\d+\], \[r?_?contig#\d+\]", plan)
 
 
 def test_padding_and_text(spark, contigs):
@@ -196,6 +206,12 @@ def test_overlapping_pairs(spark):
     assert got == [(100, 0x41, 93), (100, 0x81, 0), (101, 0x41, 0), (101, 0x81, 24)]
 
 
+def test_pairs_that_tie_in_everything_have_one_winner(spark):
+    df = spark.createDataFrame([_read(flags=0x41, bases="A", cg="1M", quals=[30]), _read(flags=0x41, bases="C", cg="1M", quals=[20]), _read(name="q", flags=0x81, bases="A", cg="1M", quals=[9]), _read(name="q", flags=0x81, bases="A", cg="1M", quals=[9])], rd.SCHEMA)
+    got = sorted((r.name, r.base, r.qual) for r in pileup.fix_overlapping_pairs(pileup.elements(df)).collect())
+    assert got == [("q", "A", 0), ("q", "A", 18), ("r", "A", 24), ("r", "C", 0)]
+
+
 def test_read_coordinates(spark):
     df = spark.createDataFrame([_read(cg="2H3S4M1D3M", bases="ACGTACGTAC")], rd.SCHEMA)
     row = df.select(rd.end().alias("e"), rd.soft_start().alias("s"), rd.unclipped_start().alias("u"), rd.offset_at(F.lit(97)).alias("a"), rd.offset_at(F.lit(104)).alias("d"), rd.offset_at(F.lit(105)).alias("x"), rd.base_at(F.lit(100)).alias("b")).first()
@@ -221,6 +237,47 @@ def test_best_alleles(spark):
     assert got == {1: (0, 0.0, False), 2: (1, 4.0, True)}
 
 
+def test_priorities_count_within_the_threshold(spark):
+    lls = {1: [-1.0, -1.1, -1.15, -9.0], 2: [-1.0, -1.3, -1.1, -1.0], 3: [-1.0, -1.5, -1.15, -1.1], 4: [-2.0, -1.0, -1.05, -1.1], 5: [-1.0, -1.05], 6: [-1.0], 7: [-1.0, -3.0]}
+    prio = [0, 5, 9, 1]
+    rows = [(1, "s", ev, a, x, prio[a]) for ev, xs in lls.items() for a, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "site int, sample string, ev int, allele int, ll double, p int")
+
+    def rule(xs, reference):
+        order = sorted((-x, a) for a, x in enumerate(xs) if reference or a)
+        if not order:
+            return None
+        best = order[0][1]
+        second = order[1][1] if len(order) > 1 else None
+        if second is None and not reference:
+            second = 0
+        elif second is not None and xs[best] - xs[second] < 0.2:
+            first, then = best, second
+            for a in range(len(xs)):
+                if a == best or not reference and not a or xs[order[0][1]] - xs[a] > 0.2:
+                    continue
+                if prio[a] > prio[best]:
+                    best, second = a, best
+                elif prio[a] > prio[second]:
+                    second = a
+        return best, None if second is None else xs[second]
+
+    for reference in (True, False):
+        got = {r.ev: (r.best, r.second_ll) for r in likelihood.best_alleles(df, "p", reference).collect()}
+        assert got == {ev: rule(xs, reference) for ev, xs in lls.items() if rule(xs, reference)}, reference
+    natural = likelihood.to_natural_log(df.drop("p"))
+    assert [r.is_informative for r in likelihood.best_alleles(natural.where("ev = 7")).collect()] == [True]
+    assert [r.is_informative for r in likelihood.best_alleles(natural.where("ev = 5")).collect()] == [False]
+    with pytest.raises(ValueError):
+        likelihood.to_natural_log(natural)
+
+
+def test_missing_likelihoods_are_impossible_not_certain(spark):
+    rows = [(1, "s", ev, 0, -0.1) for ev in range(6)] + [(1, "s", ev, 1, -4.0) for ev in range(3)]
+    got = {r.allele: r.dd for r in stats.pseudo_depth(spark.createDataFrame(rows, "site int, sample string, ev int, allele int, ll double")).collect()}
+    assert got[0] > 5.9 and got[1] < 0.1
+
+
 def test_rank_sum_small_and_large(spark):
     rows = [(1, float(v), True) for v in (1, 2, 3)] + [(1, float(v), False) for v in (4, 5, 6)] + [(2, float(v), v % 2 == 0) for v in range(40)] + [(3, 1.0, True)]
     got = {r.site: (r.u, r.z) for r in stats.rank_sum(spark.createDataFrame(rows, "site int, value double, is_alt boolean"), ["site"]).collect()}
@@ -258,9 +315,53 @@ def test_regions_and_kernel(spark, contigs):
     profile = spark.createDataFrame([("chr1", 100 + i, 0.9 if i < 20 else 0.0) for i in range(40)], "contig string, pos int, prob double")
     assert regions.regions(profile).count() == 2
     assert regions.regions(regions.band_pass(profile, contigs).where("pos between 100 and 139")).count() == 1
-    long = spark.createDataFrame([("chr1", i, 0.0 if i == 250 else 0.5 + (0.1 if i != 200 else -0.3)) for i in range(1, 401)], "contig string, pos int, prob double")
-    spans = sorted((r.start, r.end, r.active) for r in regions.regions(long, most=240).collect())
-    assert spans == [(1, 200, True), (201, 249, True), (250, 250, False), (251, 400, True)] or spans[0] == (1, 240, True) or spans[0][1] == 200
+    two = spark.createDataFrame([("chr1", i, {121: 0.01, 251: 0.8}.get(i, 0.9)) for i in range(1, 401)], "contig string, pos int, prob double")
+    assert sorted((r.start, r.end) for r in regions.regions(two).collect()) == [(1, 121), (122, 400)]
+    exact = spark.createDataFrame([("chr1", i, 0.1 if i == 101 else 0.9) for i in range(1, 301)], "contig string, pos int, prob double")
+    assert sorted((r.start, r.end) for r in regions.regions(exact).collect()) == [(1, 101), (102, 300)]
+
+
+def _regions_by_hand(probs, threshold, least, most):
+    """Regions popped one by one from the front of the states, as positions from 0."""
+    out, at = [], 0
+    while at < len(probs):
+        states = probs[at:]
+        active = states[0] > threshold
+        end = 0
+        while end < len(states) and end < most and (states[end] > threshold) == active:
+            end += 1
+        if active and end == most:
+            best, low = end - 1, float("inf")
+            for i in range(end - 1, least - 2, -1):
+                dip = 1 <= i < len(states) - 1 and states[i] <= states[i + 1] and states[i] < states[i - 1]
+                if dip and states[i] < low:
+                    best, low = i, states[i]
+            end = best + 1
+        out.append((at, at + end - 1, active))
+        at += end
+    return out
+
+
+def test_regions_match_the_states_popped_one_by_one(spark):
+    rng = random.Random(23)
+    for least, most in ((1, 7), (3, 10), (5, 5)):
+        rows, want = [], []
+        for k in range(12):
+            probs = [rng.choice([0.0, 0.1, 0.2, 0.5, 0.5, 0.9]) if rng.random() < 0.9 else 0.0 for _ in range(rng.randrange(1, 80))]
+            rows += [(f"c{k}", i + 1, p) for i, p in enumerate(probs)]
+            want += [(f"c{k}", a + 1, b + 1, active) for a, b, active in _regions_by_hand(probs, 0.05, least, most)]
+        got = regions.regions(spark.createDataFrame(rows, "contig string, pos int, prob double"), 0.05, least, most).collect()
+        assert sorted((r.contig, r.start, r.end, r.active) for r in got) == sorted(want)
+
+
+def test_assembly_regions_hold_the_reads_that_overlap_them(spark, contigs):
+    reads = [_read(name=f"r{i}", start=200 + 2 * i, cg="10M") for i in range(20)] + [_read(name="far", start=900, cg="10M")]
+    df = spark.createDataFrame(reads, rd.SCHEMA)
+    activity = lambda pile: pileup.depth(pile).select("contig", "pos", F.when(F.col("depth") > 2, 1.0).otherwise(0.0).alias("prob"))
+    got = tools.assembly_region_walker(df, HEADER, contigs, activity, padding=10).collect()
+    spans = {(r.r_region_start, r.r_region_end) for r in got}
+    assert spans and all(r.start <= r.r_end and r.r_start <= r.end for r in got)
+    assert {r.name for r in got if r.r_active} == {f"r{i}" for i in range(20)}
 
 
 def test_down_sampling(spark):
@@ -268,7 +369,27 @@ def test_down_sampling(spark):
     r = sample.reservoir(df, ["g"], ["s", "i"], 10)
     assert r.groupBy("g").count().where("count = 10").count() == 2 and sorted(r.collect()) == sorted(sample.reservoir(df, ["g"], ["s", "i"], 10).collect())
     kept = {(r.g, r.s): r["count"] for r in sample.leveling(df, ["g"], ["s"], ["i"], 25).groupBy("g", "s").count().collect()}
-    assert {k[1]: v for k, v in kept.items() if k[0] == "a"} == {"x": 10, "y": 5, "z": 10}
+    assert {k[1]: v for k, v in kept.items() if k[0] == "a"} == {"x": 21, "y": 1, "z": 3}
+    rng = random.Random(3)
+    for target, least in ((60, 1), (25, 3), (0, 2), (500, 1), (13, 0)):
+        sizes = {(g, s): rng.randrange(1, 40) for g in range(3) for s in range(rng.randrange(1, 6))} | {(9, 0): 100, (9, 1): 10}
+        df = spark.createDataFrame([(g, s, i) for (g, s), n in sizes.items() for i in range(n)], "g int, s int, i int")
+        got = {(r.g, r.s): r["count"] for r in sample.leveling(df, ["g"], ["s"], ["i"], target, least).groupBy("g", "s").count().collect()}
+        assert got == {k: v for g in {g for g, _ in sizes} for k, v in _leveled({k: n for k, n in sizes.items() if k[0] == g}, target, least).items() if v}
+
+
+def _leveled(sizes, target, least):
+    """One from each stack in turn."""
+    sizes, order = dict(sorted(sizes.items())), sorted(sizes)
+    remove, at, stuck = sum(sizes.values()) - target, 0, 0
+    while remove > 0 and stuck < len(order):
+        if sizes[order[at]] > least:
+            sizes[order[at]] -= 1
+            remove, stuck = remove - 1, 0
+        else:
+            stuck += 1
+        at = (at + 1) % len(order)
+    return sizes
 
 
 def test_clipping(spark):
@@ -276,6 +397,8 @@ def test_clipping(spark):
     good, bad = clipping.low_quality_ends(df).orderBy(F.desc("name")).collect()
     assert (good.cigar, good.start, good.bases, good.quals) == ("2H6M2H", 102, "GTACGT", [30, 30, 1, 30, 30, 30]) and bad.bases == "" and bad.flags & 4
     one = spark.createDataFrame([_read(cg="3S7M")], rd.SCHEMA)
+    more = spark.createDataFrame([_read(cg=c) for c in ("2H3S4M1I2S", "3S5I2S", "5M5S3H", "10M", "2S1M2D7M")], rd.SCHEMA)
+    assert [r.cigar for r in clipping.revert_soft_clips(more).collect()] == ["2H7M1I2M", "3M5I2M", "10M3H", "10M", "3M2D7M"]
     assert clipping.revert_soft_clips(one).first().start == 97 and clipping.soft_clipped_bases(one).first().cigar == "3H7M"
     cut = clipping.to_region(spark.createDataFrame([_read()], rd.SCHEMA), 103, 106, clipping.SOFTCLIP).first()
     assert (cut.cigar, cut.start) == ("3S4M3S", 103)
@@ -318,6 +441,8 @@ def test_formats(spark, tmp_path, contigs):
         formats.read_interval_lines(spark, str(tmp_path / "x.list"), contigs)
     formats.write_reads(spark.createDataFrame([_read(), _read(name="far", start=1500)], rd.SCHEMA), str(tmp_path / "reads"))
     scan = formats.scan_reads(spark, str(tmp_path / "reads"), "chr1", 90, 120)
+    formats.write_reads(spark.createDataFrame([_read(name="long", start=10, cg="5M3000000N5M"), _read(name="near", start=2_500_000)], rd.SCHEMA), str(tmp_path / "long"))
+    assert sorted(r.name for r in formats.scan_reads(spark, str(tmp_path / "long"), "chr1", 2_500_005, 2_500_006).collect()) == ["long", "near"]
     assert [r.name for r in scan.collect()] == ["r"] and "PartitionFilters: [isnotnull(contig" in scan._jdf.queryExecution().executedPlan().toString()
 
 

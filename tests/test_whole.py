@@ -51,7 +51,7 @@ def test_pileups_without_sql_hold_every_read_that_the_operator_accepts(spark, tm
         for pos, base, qual in _walk(r):
             piled.setdefault((r.contig, pos, r.name), []).append((not r.flags & 64, base, qual))
             depth[r.contig, pos] = depth.get((r.contig, pos), 0) + 1
-    assert {(r.contig, r.pos): r.depth for r in core._pile_all(spark, sf).groupBy("contig", "pos").count().withColumnRenamed("count", "depth").collect()} == depth
+    assert {(r.contig, r.pos): r.depth for r in core._pile(spark, sf).groupBy("contig", "pos").count().withColumnRenamed("count", "depth").collect()} == depth
     assert {(r.contig, r.pos) for r in core.QUERIES["region_band_pass"](spark, sf).where("pos between 1 and 20000").collect()} >= set(depth)
     cut = [(r.contig, p) for r in core.QUERIES["region_cut"](spark, sf).collect() for p in range(r.start, r.end + 1)]
     assert len(cut) == len(set(cut)) and set(cut) >= {k for k in depth if k[1] <= 20000}
