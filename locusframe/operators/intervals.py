@@ -37,25 +37,17 @@ def is_valid(start: Column, end: Column) -> Column:
 def merge(intervals: DataFrame, rule: str = ALL, by: tuple[str, ...] = ("contig",), width: int = MERGE_BIN) -> DataFrame:
     """(by, start, end): islands of overlapping intervals, and under ALL of abutting ones too.
 
-    Intervals are merged within bins of their starts. An island is joined to what stands before its bin if it begins within the reach of earlier bins,
-    which only a row for each bin tells, so no task gets a whole contig.
+    Intervals are merged within bins of their starts first, then the islands of all bins; only these are put in order by contig as a whole.
     """
-    bin_ = [*by, "bin"]
-    inside = Window.partitionBy(*bin_).orderBy("start", "end")
-    gap = 1 if rule == ALL else 0
-    rows = intervals.select(*by, "start", "end", F.floor(F.col("start") / width).alias("bin"))
-    apart = F.col("start") > F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)) + gap
-    marked = rows.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int"))
-    marked = marked.withColumn("island", F.sum("fresh").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    local = marked.groupBy(*bin_, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    # of each bin: how far earlier ones reach, and which of its islands they take in; islands of a bin are apart and in order
-    bins = local.groupBy(*bin_).agg(F.max("end").alias("top"))
-    across = Window.partitionBy(*by).orderBy("bin")
-    reach = bins.select(*bin_, F.max("top").over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("reach"))
-    joined = local.join(reach, bin_).withColumn("fresh", F.coalesce(F.col("start") > F.col("reach") + gap, F.lit(True)).cast("int"))
-    ahead = joined.groupBy(*bin_).agg(F.sum("fresh").alias("n")).select(*bin_, (F.sum("n").over(across) - F.col("n")).alias("ahead"))
-    numbered = joined.withColumn("own", F.sum("fresh").over(Window.partitionBy(*bin_).orderBy("start")))
-    return numbered.join(ahead, bin_).groupBy(*by, (F.col("ahead") + F.col("own")).alias("island")).agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+    def islands(rows: DataFrame, *keys: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("start", "end")
+        apart = F.col("start") > F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)) + (1 if rule == ALL else 0)
+        marked = rows.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        return marked.groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+
+    binned = intervals.select(*by, "start", "end", F.floor(F.col("start") / width).alias("bin"))
+    return islands(islands(binned, *by, "bin").drop("bin"), *by)
 
 
 def clamp(intervals: DataFrame, contigs: DataFrame, padding: int = 0) -> DataFrame:
