@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import gc
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ HOT_KEYS = 20_000
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where it is unset, one under the warehouse."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset, on one machine only, one under the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
     return f"{base.rstrip('/')}/{spark.sparkContext.applicationId}"
 
@@ -31,18 +36,20 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, free: bool = False) -> DataFrame:
     """Cuts lineage: writes df to the work folder and returns a scan of it.
 
-    The files outlive any executor, and the shuffle files behind df may go once it is written.
+    The files outlive any executor. free asks at once for the removal of the shuffle files behind df, which else waits for the driver's
+    next collection of garbage.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
     df.write.parquet(path)
-    del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if free:
+        del df
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(schema).parquet(path)
 
 
@@ -74,6 +81,13 @@ def split_join(rows: DataFrame, table: DataFrame, on: str, total: int, most: int
     return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(plain, on, how))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a few rows, so that what a task makes of its texts is small however large a batch is."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

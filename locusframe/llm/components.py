@@ -2,34 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm.common import bounded_broadcast, drop_table, materialize, partitions_for, split_join
 
 #: A tile holds at most so many rows on a side, of so many bytes in all; larger groups are cut into chunks that meet in pairs.
-TILE, TILE_BYTES = 2048, 32 << 20
+TILE, TILE_BYTES = 2048, 16 << 20
+#: So many links, of 32 bytes or so each, are joined in one task; more by rounds over written tables.
+ONE_TASK_EDGES = 200_000
 #: One call compares tiles of about so many rows and bytes.
-CALL_ROWS, CALL_BYTES = 20_000, 32 << 20
+CALL_ROWS, CALL_BYTES = 10_000, 12 << 20
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b) of any ordered type: the smallest node reachable.
 
-    Alternates large-star and small-star steps on written tables. Each step is a grouped minimum, combined
-    before its shuffle, and a join that spreads the rows of hot nodes; no neighbour list is ever gathered. An empty table
-    gives an empty table; self-links, repeated links and links with a null end change nothing.
+    Up to ONE_TASK_EDGES links are joined in one task. More are joined by large-star and small-star steps in turn on written tables: each step is a
+    grouped minimum, combined before its shuffle, and a join that spreads the rows of hot nodes; no neighbour list is ever gathered. Both
+    ways give the same rows. An empty table gives an empty table; self-links, repeated links and links with a null end change nothing.
     """
     star = materialize(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u <> v").distinct(), "edges")
+    if star.limit(ONE_TASK_EDGES + 1).count() <= ONE_TASK_EDGES:
+        node = star.schema["u"].dataType.simpleString()
+        return star.coalesce(1).mapInArrow(_joined, f"node {node}, component {node}")
     seen = None
     for _ in range(max_rounds):
         mark = star.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
-        if mark == seen or mark["n"] == 0:
+        if mark == seen:
             break
         seen, n = mark, mark["n"]
         both = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +44,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = large.groupBy("v").agg(F.min("u").alias("m"), F.count(F.lit(1)).alias("n"))
         met = split_join(large, least, "v", n, n)
         small = met.select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct("v", F.col("m").alias("u")))).alias("e")).select("e.v", "e.u").where("u <> v").distinct()
-        old, star = star, materialize(small, "star")
+        old, star = star, materialize(small, "star", free=True)
         drop_table(old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
@@ -46,6 +52,18 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     return star.select(F.col("v").alias("node"), F.col("u").alias("component")).union(ends)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (v, u)."""
+    tables = [pa.table(b.columns, ["v", "u"]) for b in batches if b.num_rows]
+    if not tables:
+        return
+    ends = pa.concat_tables(tables)
+    nodes = pc.unique(pa.chunked_array([*ends["v"].chunks, *ends["u"].chunks]))
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    label = smallest_reachable(len(nodes), *(pc.index_in(ends[c], nodes).to_numpy().astype(np.int64) for c in "vu"))
+    yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], ["node", "component"])
+
+
 @dataclass
 class KeyGroups:
     """Rows that share a key: as pairs (a, b) where a key has just two, else as members (grp, id) of the key."""
@@ -64,19 +82,19 @@ def key_groups(keys: DataFrame) -> KeyGroups:
     A first pass combines each key's count and ends, so most keys go before anything else is done; only the rows of keys with
     three or more ids are shuffled again.
     """
-    found = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), "keys")
-    pairs = materialize(found.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct(), "pairs")
+    found = materialize(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo <> hi"), "keys", free=True)
+    pairs = found.where("n = 2").select(F.col("lo").alias("a"), F.col("hi").alias("b")).distinct()
     many = found.where("n > 2").select("key", "n")
-    size = many.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    members = materialize(split_join(keys, many, "key", size, many.count()).select("key", "id").distinct(), "members")
+    keyed, size = many.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if not keyed:
+        return KeyGroups(pairs, pairs.select(F.col("a").alias("grp"), F.col("a").alias("id")).where("false"))
+    members = materialize(split_join(keys, many, "key", size, keyed).select("key", "id").distinct(), "members", free=True)
     # two hashes of 64 bits tell sets of ids apart, added up in halves so that no sum overflows
     h, g = F.xxhash64("id"), F.xxhash64(F.lit(1), "id")
     halves = [x for y in (h, g) for x in (y.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(y, 32))]
     signed = members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(halves)])
-    once = materialize(signed.groupBy("n", "s0", "s1", "s2", "s3").agg(F.min("key").alias("key")).select("key", "n"), "once")
-    kept = split_join(members, once.where("n > 1"), "key", size, once.count())
-    drop_table(found)
-    return KeyGroups(pairs, materialize(kept.select(F.col("key").alias("grp"), "id"), "groups"))
+    once = signed.groupBy("n", "s0", "s1", "s2", "s3").agg(F.min("key").alias("key")).where("n > 1").select("key", "n")
+    return KeyGroups(pairs, materialize(split_join(members, once, "key", size, keyed).select(F.col("key").alias("grp"), "id"), "groups"))
 
 
 #: Rows on the left and, for pairs across two chunks, on the right, as (size, bytes); gives positions of links, enough to join all that link.
@@ -94,14 +112,15 @@ def spanning_links(members: DataFrame, band: Column, link: Linker, node: str) ->
     weight = (F.octet_length("data") + 32).cast("long")
     sums = materialize(rows.groupBy("grp", "band").agg(F.count(F.lit(1)).alias("n"), F.sum(weight).alias("bytes")), "bands")
     whole = sums.groupBy("grp").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
-    large = whole.where((F.col("n") > TILE) | (F.col("bytes") > TILE_BYTES)).select("grp")
-    chunks = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
-    cut = materialize(sums.join(large, "grp").select("grp", "band", chunks.alias("chunks")), "chunks")
-    n_cut = cut.count()
+    over = (F.col("n") > TILE) | (F.col("bytes") > TILE_BYTES)
+    total = whole.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count_if(over).alias("large")).first()
+    large = whole.where(over).select("grp")
     none = [F.lit(None).cast("int").alias(c) for c in ("band_i", "i", "band_j", "j")]
-    if n_cut:
-        near = cut.alias("own")
+    if total["large"]:
+        chunks = F.ceil(F.greatest(F.col("n") / TILE, F.col("bytes") / TILE_BYTES)).cast("int")
+        cut = materialize(sums.join(bounded_broadcast(large, total["large"], 16), "grp").select("grp", "band", chunks.alias("chunks")), "chunks")
+        n_cut = cut.count()
+        near = cut
         for name, step in (("before", -1), ("after", 1)):
             other = cut.select(F.col("grp").alias(f"g_{name}"), (F.col("band") - step).alias(f"b_{name}"), F.col("chunks").alias(name))
             near = near.join(other, (F.col("grp") == F.col(f"g_{name}")) & (F.col("band") == F.col(f"b_{name}")), "left").drop(f"g_{name}", f"b_{name}")
@@ -117,7 +136,7 @@ def spanning_links(members: DataFrame, band: Column, link: Linker, node: str) ->
             F.transform(upto(F.coalesce("before", F.lit(0))), lambda x: spot(band_ - 1, x, band_, chunk, 1)),
         )
         big = big.withColumn("__chunk", mine).withColumn("spot", F.explode(meet)).select("grp", "node", "size", "data", "spot.*")
-        small = rows.join(bounded_broadcast(large, n_cut, 16), "grp", "left_anti").select("grp", "node", "size", "data", *none, F.lit(0).alias("side"))
+        small = rows.join(bounded_broadcast(large, total["large"], 16), "grp", "left_anti").select("grp", "node", "size", "data", *none, F.lit(0).alias("side"))
         rows = small.unionByName(big)
     else:
         rows = rows.select("grp", "node", "size", "data", *none, F.lit(0).alias("side"))

@@ -17,13 +17,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import bounded_broadcast, documents, materialize, split_join
+from locusframe.llm.common import bounded_broadcast, documents, materialize, slices, split_join
 from locusframe.llm.components import connected_components, key_groups, spanning_links, spread
 
 #: N-grams are frequent if tasks saw them in more sets than this; so many of the most frequent, at most, come last in the order of columns.
 FREQUENT, FREQUENT_GRAMS = 16, 1 << 18
 #: A task counts so many n-grams at a time, and tells of those that it saw in two sets or more.
-_COUNTED = 4_000_000
+_COUNTED = 2_000_000
 #: Blocks of columns in which overlaps are added up.
 _BLOCKS = 4
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -215,7 +215,7 @@ def _rows(docs: DataFrame, k: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, np.ndarray] = {}
         room = _COUNTED
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_hashes(t.as_py(), k) for t in b.column(2)]
             nodes = [_digest(s) for s in sets]
             for node, s in zip(nodes, sets):
@@ -254,7 +254,7 @@ def _keys(docs: DataFrame, k: int, percent: int, frequent: tuple[np.ndarray, np.
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
-        for b in batches:
+        for b in slices(batches):
             ids, keys = [], []
             for t in b.column(0):
                 s = shingle_hashes(t.as_py(), k)
@@ -274,7 +274,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     """(node, id, size, data) of docs (text), data the set's sorted hashes."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             sets = [s for t in b.column(0) if len(s := shingle_hashes(t.as_py(), k))]
             nodes = [_digest(s) for s in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(map(_short, nodes), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "id", "size", "data"])

@@ -139,7 +139,10 @@ def test_many_candidates_that_mostly_do_not_link(spark):
     assert got == want and 5000 < len(set(want.values())) < 6000
 
 
-def test_connected_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("bound", [components.ONE_TASK_EDGES, 0])
+def test_connected_components_of_a_path_and_a_star(spark, monkeypatch, bound):
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", bound)
+    assert components.connected_components(spark.createDataFrame([], "a binary, b binary")).count() == 0
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (100, 101)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 130), 100)}
@@ -242,6 +245,26 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_embeddings_tie_repeat_and_have_no_id(spark):
+    rows = [(1, [1.0, 0.0, 0.0, 0.0], "c"), (2, [1.0, 1.0, 1.0, 1.0], "c"), (2, [1.0, 1.0, 1.0, 1.0], "c"), (None, [2.0, 2.0, 2.0, 2.0], "c"), (None, [0.0, 0.0, -1.0, 0.0], "c"), (5, [-1.0, 1.0, -1.0, 1.0], "c"), (6, [0.0, 1.0, 0.0, 0.0], "c")]
+    got = [tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string"), 0.5).collect()]
+    key = lambda t: tuple((x is None, x or 0) for x in t[:2])
+    # by hand: 1-2 at 0.5; both rows of 2 and the third equal one; 5 at 0.5 to the nameless and to 6; 6 at 0.5 to 2
+    want = [(1, 3, 1, True), (2, 4, 1, False), (2, 4, 1, False), (None, 4, 1, False), (None, 1, 1, False), (5, 2, 1, False), (6, 4, 1, False)]
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+@pytest.mark.parametrize("grid", [3, 4])
+def test_embeddings_on_finer_grids(spark, monkeypatch, grid):
+    monkeypatch.setattr(embeddings, "_grid_dims", lambda n: grid)
+    rng = np.random.default_rng(grid)
+    x = rng.standard_normal((9, 24)).repeat(7, axis=0) + rng.standard_normal((63, 24)) * 0.1
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(63, dtype=bool)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: int(linked[i].sum()) for i in range(63)} and linked.any()
+
+
 def test_embeddings_of_an_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
