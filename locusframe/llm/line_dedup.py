@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os.path
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import common
-from locusframe.llm.common import bounded_broadcast, documents, materialize, split_join
+from locusframe.llm.common import bounded_broadcast, documents, materialize, slices, split_join
 from locusframe.llm.components import connected_components, key_groups, spanning_links, spread
 
 EDITS = 2
@@ -50,28 +51,32 @@ def edits_for(length: int, edits: int = EDITS) -> int:
     return min(edits, length // EDIT_CHARS)
 
 
-def line_keys(line: str, edits: int = EDITS) -> list[int]:
-    """Hashes of (length, edits, segment, substring) under which the line is stored or sought."""
-    n, keys = len(line), set()
+@lru_cache(100_000)
+def _places(n: int, edits: int) -> list[tuple[int, int, int]]:
+    """(start, end, seed) of the substrings under which a line of n code points is stored or sought; the seed tells length, edits and segment."""
+    out = set()
     own = edits_for(n, edits)
     for less in range(own + 1 if own else 0):
         for i, (start, size) in enumerate(segments(n - less, own)):
             low = max(0, start - i, start + less - (own - i))
             high = min(n - size, start + i, start + less + (own - i))
-            for at in range(low, high + 1):
-                keys.add(_hash(line[at : at + size], ((n - less) * (edits + 1) + own) * (edits + 1) + i))
+            out |= {(at, at + size, ((n - less) * (edits + 1) + own) * (edits + 1) + i) for at in range(low, high + 1)}
     for more in range(1, edits + 1):  # what a longer line, to which more edits are allowed, seeks
         if own < (t := edits_for(n + more, edits)) >= more:
-            keys |= {_hash(line[at : at + size], (n * (edits + 1) + t) * (edits + 1) + i) for i, (at, size) in enumerate(segments(n, t))}
-    return list(keys)
+            out |= {(at, at + size, (n * (edits + 1) + t) * (edits + 1) + i) for i, (at, size) in enumerate(segments(n, t))}
+    return list(out)
 
 
-def _digest(line: str) -> bytes:
-    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
+def line_keys(line: str, edits: int = EDITS) -> list[int]:
+    """Unsigned hashes of (length, edits, segment, substring) under which the line is stored or sought."""
+    raw = line.encode("utf-8", "surrogatepass")
+    if len(raw) == len(line):
+        return [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b, seed in _places(len(line), edits)]
+    return [xxhash.xxh3_64_intdigest(line[a:b].encode("utf-8", "surrogatepass"), seed) for a, b, seed in _places(len(line), edits)]
 
 
-def _hash(text: str, seed: int = 0) -> int:
-    return int.from_bytes(xxhash.xxh3_64_digest(text.encode("utf-8", "surrogatepass"), seed), "big", signed=True)
+def _digest(line: str) -> bytes:
+    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
 def _short(line_id: bytes) -> int:
@@ -131,7 +136,7 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
     """(doc_id, mark, line_no, line_id, id): one row for each line that isn't blank; line_id is a digest of the line, id a part of it."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at, numbers, lines = [], [], []
             for i, text in enumerate(b.column(2)):
                 for no, line in enumerate(lines_of(text.as_py())):
@@ -148,31 +153,36 @@ def line_occurrences(docs: DataFrame) -> DataFrame:
 def _keys(docs: DataFrame, edits: int) -> DataFrame:
     """(key, id) of the lines of docs (text); recomputed where it is used twice, since it is larger than the texts."""
 
+    def table(ids: list[int], counts: list[int], keys: list[int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), counts))], ["key", "id"])
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given: set[int] = set()
-        for b in batches:
+        given: set[bytes] = set()
+        for b in slices(batches):
             ids: list[int] = []
+            counts: list[int] = []
             keys: list[int] = []
             for text in b.column(0):
                 for line in lines_of(text.as_py()):
-                    if not line or (h := _short(_digest(line))) in given:
+                    if len(line) + edits < EDIT_CHARS or (h := _digest(line)) in given:
                         continue
                     if len(given) < _REMEMBERED:
                         given.add(h)
                     found = line_keys(line, edits)
                     keys += found
-                    ids += [h] * len(found)
+                    ids.append(_short(h))
+                    counts.append(len(found))
                 if len(keys) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
-                    ids, keys = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "id"])
+                    yield table(ids, counts, keys)
+                    ids, counts, keys = [], [], []
+            yield table(ids, counts, keys)
 
     return docs.mapInArrow(scan, "key long, id long")
 
 
 def _line_texts(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lines = list({x for t in b.column(0) for x in lines_of(t.as_py()) if x})
             marks = [_digest(x) for x in lines]
             raw = [x.encode("utf-8", "surrogatepass") for x in lines]
