@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import documents
+from locusframe.llm.common import documents, slices
 
 DIMS = 4096
 #: The classifier is fitted on about so many labelled rows in all, dealt evenly to the languages.
@@ -28,27 +28,52 @@ _BITS = np.uint32(32 - DIMS.bit_length() + 1)
 _M1, _M2, _M3 = (np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D))
 
 
+def _letters(text: str) -> np.ndarray:
+    """Code points of a piece of text; whatever is no letter is a space."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if int(c.max()) < len(_LOW):
+        return _LOW[c]
+    return np.where(c < len(_LOW), _LOW[np.minimum(c, len(_LOW) - 1)], np.where((c >= 0x2000) & (c < 0x2070) | (c >= 0x3000) & (c < 0x3040), np.uint32(32), c)).astype(np.uint32)
+
+
 def gram_counts(text: str | None) -> np.ndarray:
-    """Counts of 1- to 3-character grams of the whole text, hashed to DIMS places; whatever is no letter is a space."""
+    """Counts of 1- to 3-character grams of the whole text, hashed to DIMS places; whatever is no letter is a space, and spaces count as one.
+
+    A text is taken in pieces, each with the two characters before it, so that it counts as if it were in one piece.
+    """
     total = np.zeros(DIMS, np.int64)
     low = (text or "").lower()
-    for at in range(0, len(low), _PIECE):
-        c = np.frombuffer(f" {low[at : at + _PIECE]} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-        if int(c.max()) < len(_LOW):
-            c = _LOW[c]
-        else:
-            c = np.where(c < len(_LOW), _LOW[np.minimum(c, len(_LOW) - 1)], np.where((c >= 0x2000) & (c < 0x2070) | (c >= 0x3000) & (c < 0x3040), np.uint32(32), c)).astype(np.uint32)
+    before = np.array([32], np.uint32)
+    for at in range(0, len(low) + 1, _PIECE):
+        piece = low[at : at + _PIECE] + ("" if at + _PIECE <= len(low) else " ")
+        c = _letters(piece) if piece else np.zeros(0, np.uint32)
         blank = c == 32
-        keep = ~blank
-        keep[0] = True
-        keep[1:] |= ~blank[:-1]
-        c = c[keep]
+        c = c[~(blank & np.concatenate((before[-1:] == 32, blank[:-1])))] if len(c) else c
+        if not len(c):
+            continue
+        known, c = len(before), np.concatenate((before, c))
         one = c * _M1
         two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * _M2 + c[1:] * _M3
         three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * _M1 + c[2:] * _M2
-        for h in (one[c != 32], two, three):
+        new = one[known:]
+        for h in (new[c[known:] != 32], two[known - 1 :], three[max(0, known - 2) :]):
             total += np.bincount(((h ^ (h >> np.uint32(16))) * _M3) >> _BITS, minlength=DIMS)
-    return total
+        before = c[-2:]
+    return total if len(low) else np.zeros(DIMS, np.int64)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    """The places that have any, then their counts."""
+    at = np.flatnonzero(counts)
+    return at.astype(np.uint16).tobytes() + counts[at].astype(np.uint32).tobytes()
+
+
+def _unpacked(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), DIMS), np.float32)
+    for r, b in zip(out, rows):
+        n = len(b) // 6
+        r[np.frombuffer(b, np.uint16, n)] = np.frombuffer(b, np.uint32, n, 2 * n)
+    return out
 
 
 @dataclass
@@ -104,25 +129,26 @@ def fit(docs: DataFrame, usable=None, max_rows: int = TRAINING_ROWS) -> Language
     sample = rows.where(unit < table[F.col("lang")]).select("lang", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            kept = [(lang, np.minimum(gram_counts(t), 0xFFFF).astype(np.uint16).tobytes()) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _LETTER.search(t)]
+        for b in slices(batches):
+            kept = [(lang, _packed(gram_counts(t))) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if _LETTER.search(t)]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.string()), pa.array([x[1] for x in kept], pa.binary())], ["lang", "grams"])
 
     got = sorted((r["lang"], bytes(r["grams"])) for r in sample.mapInArrow(features, "lang string, grams binary").collect())
     if not got:
         return LanguageModel([], np.zeros((0, DIMS)), np.ones(DIMS), 0.0, 0.0)
-    langs = np.array([x[0] for x in got])
-    raw = np.array([np.frombuffer(x[1], np.uint16) for x in got]).astype(np.float64)
-    idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 1
-    rows_ = raw * idf
+    langs, rows_ = np.array([x[0] for x in got]), _unpacked([x[1] for x in got])
+    del got
+    grams, seen = rows_.sum(axis=1, dtype=np.float64), (rows_ > 0).sum(axis=0)
+    idf = np.log((1 + len(rows_)) / (1 + seen)) + 1
+    rows_ *= idf.astype(np.float32)
     rows_ /= np.linalg.norm(rows_, axis=1, keepdims=True)
     names, centres = [], []
     for lang in sorted(set(langs.tolist())):
         found = _cluster(rows_[langs == lang], CENTROIDS)
         names += [lang] * len(found)
         centres.append(found)
-    centroids = np.vstack(centres)
-    best, grams = (rows_ @ centroids.T).max(axis=1), raw.sum(axis=1)
+    centroids = np.vstack(centres).astype(np.float64)
+    best = (rows_ @ centroids.T.astype(np.float32)).max(axis=1).astype(np.float64)
     long = grams >= np.median(grams)
     top = float(np.median(best[long]))
     loss = float(np.median(grams[~long] * np.maximum(0, (top / np.maximum(best[~long], 1e-6)) ** 2 - 1))) if (~long).any() else 0.0
@@ -140,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [shared.value.predict(t.as_py()) for t in b.column(at)]
             new = [pa.array([bool(f[i]) if i == 2 else f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "lang_pred", "score", "rejected"])
