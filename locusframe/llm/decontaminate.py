@@ -4,18 +4,19 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import documents
+from locusframe.llm.common import documents, slices
 
-#: Benchmark texts of up to so many bytes in all are broadcast as window sets; larger ones are joined by shuffle.
-INDEX_BYTES = 32 << 20
+#: Benchmark texts of up to so many bytes in all are broadcast as window sets; larger ones are joined by shuffle. An index takes about ten times the texts'
+#: bytes, at most some 200 MB.
+INDEX_BYTES = 16 << 20
 NONE = hashlib.sha256(b"").hexdigest()
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -30,53 +31,92 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TO_WORDS).split() if text else []
 
 
-class WindowIndex:
-    """Windows of all items by length, with a hash table that rules most document positions out.
+def _window_hashes(ids: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(ids) - n + 1, np.uint64)
+    for i in range(n):
+        out *= _MIX
+        out += ids[i : i + len(out)]
+    return (out ^ (out >> np.uint64(29))) * _MIX
+
+
+class _Windows:
+    """The windows of one length: sorted hashes, where each stands in the stream of all items' words, and the items that hold it.
 
-    Words of the benchmark get numbers from 1; any other word is 0. A window is found by a polynomial hash of
-    numbers at every position and then compared number by number, so a hit is exact.
+    A table of bits rules most document positions out. A window is found by its hash and then compared word by word, so a hit is exact.
     """
 
-    def __init__(self, items: list[tuple[str | None, str | None]], size: int):
-        self.size = size
+    def __init__(self, stream: np.ndarray, n: int, at: np.ndarray, item: np.ndarray):
+        self.stream, self.n = stream, n
+        h = _window_hashes(stream.astype(np.uint64), n)[at]
+        order = np.lexsort((item, h))
+        h, at, item = h[order], at[order], item[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        lead = np.repeat(at[first], np.diff(np.append(first, len(h))))
+        same = np.concatenate([self._equal(at[p : p + 100_000], stream, lead[p : p + 100_000]) for p in range(0, len(at), 100_000)])
+        self.odd: dict[tuple[int, ...], set[int]] = {}  # windows whose hash is another's
+        for p in np.flatnonzero(~same).tolist():
+            self.odd.setdefault(tuple(stream[at[p] : at[p] + n].tolist()), set()).add(int(item[p]))
+        h, at, item = h[same], at[same], item[same]
+        new = np.concatenate(([True], h[1:] != h[:-1]))
+        fresh = new | np.concatenate(([True], item[1:] != item[:-1]))  # an item that repeats a window counts once
+        self.hashes, self.at = h[new], at[new]
+        self.items, self.first = item[fresh], np.append(np.flatnonzero(new[fresh]), int(fresh.sum()))
+        bits = max(16, (16 * len(self.hashes)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.filter = np.zeros(1 << bits, bool)
+        self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
+
+    def _equal(self, at: np.ndarray, other: np.ndarray, there: np.ndarray) -> np.ndarray:
+        step = np.arange(self.n)
+        return (self.stream[at[:, None] + step] == other[there[:, None] + step]).all(axis=1)
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, set[int]]:
+        """Positions of windows in ids, and the items that hold them."""
+        h = _window_hashes(ids, self.n)
+        spot = np.flatnonzero(self.filter[(h >> self.shift).astype(np.int64)])
+        k = np.minimum(np.searchsorted(self.hashes, h[spot]), len(self.hashes) - 1)
+        near = self.hashes[k] == h[spot]
+        spot, k = spot[near], k[near]
+        hit = self._equal(self.at[k], ids, spot)
+        items = {x for w in np.unique(k[hit]).tolist() for x in self.items[self.first[w] : self.first[w + 1]].tolist()}
+        for i in spot[~hit].tolist() if self.odd else ():
+            if held := self.odd.get(tuple(ids[i : i + self.n].tolist())):
+                hit[np.searchsorted(spot, i)] = True
+                items |= held
+        return spot[hit], items
+
+
+class WindowIndex:
+    """Windows of all items by length. Words of the benchmark get numbers from 1; any other word is 0."""
+
+    def __init__(self, items: Iterable[tuple[str | None, str | None]], size: int):
         self.number: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], set]] = defaultdict(lambda: defaultdict(set))
+        names: dict[str | None, int] = {}
+        streams, held, begin = [], defaultdict(list), 0
         for item, text in items:
-            ids = tuple(self.number.setdefault(w, len(self.number) + 1) for w in words_of(text))
-            n = min(size, len(ids))
-            for i in range(len(ids) - n + 1 if n else 0):
-                by_length[n][ids[i : i + n]].add(item)
-        self.by_length = {n: {k: frozenset(v) for k, v in found.items()} for n, found in by_length.items()}
-        self.filters = {n: self._filter(n, found) for n, found in self.by_length.items()}
-
-    @staticmethod
-    def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-        out = np.zeros(len(ids) - n + 1, np.uint64)
-        for i in range(n):
-            out *= _MIX
-            out += ids[i : i + len(out)]
-        return (out ^ (out >> np.uint64(29))) * _MIX >> np.uint64(42)
-
-    def _filter(self, n: int, found: dict) -> np.ndarray:
-        table = np.zeros(1 << 22, bool)
-        windows = np.array(list(found), np.uint64)
-        table[[int(self._hashes(w, n)[0]) for w in windows]] = True
-        return table
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set, list[tuple[int, int]]]:
-        """Which words are hit, the items found and the spans (first word, end) of the hits."""
-        hit = np.zeros(len(words), bool)
-        items: set = set()
-        spans = []
+            words = words_of(text)
+            if not words:
+                continue
+            streams.append(np.fromiter((self.number.setdefault(w, len(self.number) + 1) for w in words), np.uint32, len(words)))
+            n = min(size, len(words))
+            at = begin + np.arange(len(words) - n + 1)
+            held[n].append((at, np.full(len(at), names.setdefault(item, len(names)), np.int32)))
+            begin += len(words)
+        stream = np.concatenate([np.zeros(0, np.uint32), *streams])
+        self.names = list(names)
+        self.windows = [_Windows(stream, n, *(np.concatenate(x) for x in zip(*parts))) for n, parts in sorted(held.items())]
+
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
+        """Which words are hit, and the ids of the items found."""
         ids = np.fromiter(map(self.number.get, words, repeat(0)), np.uint64, len(words))
-        for n, found in self.by_length.items():
-            if len(ids) >= n:
-                for i in np.flatnonzero(self.filters[n][self._hashes(ids, n)]).tolist():
-                    if got := found.get(tuple(ids[i : i + n].tolist())):
-                        hit[i : i + n] = True
-                        items |= got
-                        spans.append((i, i + n))
-        return hit, items, spans
+        edges, items = np.zeros(len(words) + 1, np.int64), set()
+        for w in self.windows:
+            if len(ids) >= w.n:
+                spot, found = w.find(ids)
+                np.add.at(edges, spot, 1)
+                np.add.at(edges, spot + w.n, -1)
+                items |= found
+        return np.cumsum(edges[:-1]) > 0, {self.names[i] for i in items}
 
 
 def _small_index(benchmark: DataFrame, size: int, limit: int) -> WindowIndex | None:
@@ -104,11 +144,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, index_b
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for text in batch.column(text_at):
                 words = words_of(text.as_py())
-                hit, items, _ = index.scan(words)
+                hit, items = index.scan(words)
                 names = sorted(x for x in items if x is not None)
                 n = int(hit.sum())
                 rows.append((len(words), n, len(names), hashlib.sha256(",".join(names).encode()).hexdigest() if names else NONE, n > 0))
@@ -119,28 +159,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10, index_b
     return kept.mapInArrow(scan, schema)
 
 
-def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """The same for a benchmark of any size: windows of both sides meet by hash and are compared as text.
-
-    Results depend on the text alone, so documents are joined to them by a digest of the text.
-    """
+def _found_by_join(texts: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """(sha, at, n, item_id) of windows in texts (sha, w), for a benchmark of any size: windows of both sides meet by hash and are compared as text."""
 
     def windows(words: str, n: str) -> str:
         return f"transform(sequence(1, size({words}) - {n} + 1), i -> named_struct('at', i - 1, 'n', {n}, 'win', array_join(slice({words}, i, {n}), ' ')))"
 
-    lower = F.regexp_extract_all(F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
-    items = benchmark.select("item_id", lower.alias("w")).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(size)))
+    items = benchmark.select("item_id", _words("text").alias("w")).where("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(size)))
     items = items.select("item_id", F.explode(F.expr(windows("w", "n"))).alias("x")).select("item_id", "x.n", "x.win").distinct()
     lengths = sorted(r[0] for r in items.select("n").distinct().collect())  # size values at most
-    texts = docs.select("text").where("text is not null").distinct().select(F.sha2("text", 256).alias("sha"), lower.alias("w"))
     hashed = items.select("item_id", "n", "win", F.xxhash64("win").alias("h"))
-    spots = [texts.where(F.size("w") >= n).select("sha", F.explode(F.expr(windows("w", str(n)))).alias("x")) for n in lengths]
-    found = None
-    for spot in spots:
-        hits = spot.select("sha", "x.at", "x.n", "x.win", F.xxhash64("x.win").alias("h")).join(hashed, ["h", "n", "win"]).select("sha", "at", "n", "item_id")
-        found = hits if found is None else found.union(hits)
-    if found is None:
-        found = texts.select("sha", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item_id")).where("false")
+    found = texts.select("sha", F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(None).cast("string").alias("item_id")).where("false")
+    for n in lengths:
+        spot = texts.where(F.size("w") >= n).select("sha", F.explode(F.expr(windows("w", str(n)))).alias("x"))
+        found = found.union(spot.select("sha", "x.at", "x.n", "x.win", F.xxhash64("x.win").alias("h")).join(hashed, ["h", "n", "win"]).select("sha", "at", "n", "item_id"))
+    return found
+
+
+def _words(text: str) -> Column:
+    return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+
+
+def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """Results depend on the text alone, so documents are joined to them by a digest of the text."""
+    texts = docs.select("text").where("text is not null").distinct().select(F.sha2("text", 256).alias("sha"), _words("text").alias("w"))
+    found = _found_by_join(texts, benchmark, size)
     hit = found.select("sha", F.explode(F.expr("sequence(at, at + n - 1)")).alias("p")).distinct().groupBy("sha").agg(F.count("p").alias("n_hit"))
     names = found.where("item_id is not null").select("sha", "item_id").distinct().groupBy("sha").agg(F.sort_array(F.collect_list("item_id")).alias("ids"))
     words = texts.select("sha", F.size("w").cast("long").alias("n_words"))
@@ -151,33 +194,51 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, size: int) ->
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs without contaminated documents, in docs' own columns."""
+    """docs (text, others) without contaminated documents, in docs' own columns. Null and wordless texts stay; an empty benchmark drops nothing."""
     found = contamination(docs.withColumn("__in", F.struct(*docs.columns)).select("__in", "text"), benchmark, size)
     return found.where("not contaminated").select("__in.*")
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs with every hit run of words, and what stands between them, cut from the text; a text left wordless is empty.
+def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """docs with every hit run of words, and what stands between them, cut from the text; a text left wordless is empty, a null text stays null.
 
-    For a benchmark within INDEX_BYTES; a larger one raises ValueError, since spans need the window set at hand.
+    The window set is broadcast while the benchmark is within index_bytes; a larger one is joined by shuffle.
     """
-    index = _small_index(benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text"), size, INDEX_BYTES)
-    if index is None:
-        raise ValueError(f"benchmark exceeds {INDEX_BYTES} bytes: use decontaminate()")
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    index = _small_index(benchmark, size, index_bytes)
     at, names = docs.columns.index("text"), docs.columns
+    if index is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches):
+                out = pa.array([_cut(t.as_py(), lambda words: shared.value.scan(words)[0]) for t in batch.column(at)], pa.string())
+                yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(batch.columns)], names)
+
+        return docs.mapInArrow(cut, docs.schema)
+    texts = docs.select("text").where("text is not null").distinct().select(F.sha2("text", 256).alias("sha"), _words("text").alias("w"))
+    spans = _found_by_join(texts, benchmark, size).groupBy("sha").agg(F.collect_set(F.struct("at", "n")).alias("__spans")).withColumnRenamed("sha", "__sha")
+    joined = docs.withColumn("__sha", F.sha2("text", 256)).join(spans, "__sha", "left").select(*names, "__spans")
+
+    def cut_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            found = batch.column(len(names)).to_pylist()
+            out = [t.as_py() if s is None else _cut(t.as_py(), lambda words, s=s: _covered(len(words), s)) for t, s in zip(batch.column(at), found)]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])], names)
+
+    return joined.mapInArrow(cut_spans, docs.schema)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = pa.array([_cut(shared.value, t.as_py()) for t in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([out if i == at else c for i, c in enumerate(batch.columns)], names)
 
-    return docs.mapInArrow(cut, docs.schema)
+def _covered(n: int, spans: list[dict]) -> np.ndarray:
+    hit = np.zeros(n, bool)
+    for s in spans:
+        hit[s["at"] : s["at"] + s["n"]] = True
+    return hit
 
 
-def _cut(index: WindowIndex, text: str | None) -> str | None:
+def _cut(text: str | None, hits: Callable[[list[bytes]], np.ndarray]) -> str | None:
     words = words_of(text)
-    hit, _, _ = index.scan(words)
+    hit = hits(words)
     if not hit.any():
         return text
     raw = text.encode("utf-8", "surrogatepass")
