@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from locusframe.llm.common import documents, materialize, partitions_for
+from locusframe.llm.common import documents, materialize, partitions_for, split_join
 
 SHARDS = 40
 #: Bytes that each row takes besides its text.
@@ -81,20 +81,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, row_bytes: int = ROW_BYTES, kee
     own = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard")]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*(c for c in own if keep_text or c != "text"), (F.octet_length(text) + F.lit(row_bytes)).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("__key"))
-    groups = rows.groupBy("__key").agg(F.sum("size").alias("bytes"))
+    groups = rows.groupBy("__key").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     order = [F.desc("bytes"), F.col("__key")]
     ranged = groups.repartitionByRange(partitions_for(spark), *order).sortWithinPartitions(*order)
-    ranged = materialize(ranged.select("__key", "bytes", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "groups")
+    ranged = materialize(ranged.select("__key", "bytes", "n", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "groups")
     # distinct sizes number at most the square root of twice the bytes; parts are as many as partitions
-    runs = ranged.groupBy("bytes").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("bytes")).toPandas()
-    _, cuts = cut_points(runs["bytes"].to_numpy(np.int64), runs["n"].to_numpy(np.int64), shards)
-    offset, starts = 0, {}
-    for part, n in sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect()):
-        starts[part], offset = offset, offset + n
+    runs = ranged.groupBy("bytes").agg(F.count(F.lit(1)).alias("groups")).orderBy(F.desc("bytes")).toPandas()
+    _, cuts = cut_points(runs["bytes"].to_numpy(np.int64), runs["groups"].to_numpy(np.int64), shards)
+    offset, starts, n_rows = 0, {}, 0
+    for part, n, held in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.count(F.lit(1)), F.sum("n")).collect()):
+        starts[part], offset, n_rows = offset, offset + n, n_rows + held
     begin = F.create_map(*[F.lit(x) for kv in (starts or {0: 0}).items() for x in kv])[F.col("part")]
     at = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<int>")
-    placed = ranged.withColumn("pos", begin + F.col("at")).select("__key", F.size(F.filter(at, lambda c: c <= F.col("pos"))).alias("shard"))
-    joined = rows.join(placed, "__key").drop("__key")
+    placed = ranged.withColumn("pos", begin + F.col("at")).select("__key", "n", F.size(F.filter(at, lambda c: c <= F.col("pos"))).alias("shard"))
+    joined = split_join(rows, placed, "__key", n_rows, offset, 96).drop("__key")
     shard_at = joined.columns.index("shard")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
