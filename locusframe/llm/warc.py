@@ -29,6 +29,7 @@ REVISIT_BYTES = 100
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
+DIGEST = "sha256:"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MANIFEST = "_files.json"
 SCHEMA = "record_id string, warc_type string, target_uri string, warc_date string, payload_digest string, payload_bytes long, page_id long, refers_to long, content_length long, headers map<string,string>, payload binary"
@@ -144,6 +145,8 @@ class WarcReader(DataSourceReader):
 def _value(headers: dict[str, str], column: str):
     name, number = _HEADERS[column]
     text = headers.get(name)
+    if text is not None and column == "payload_digest":
+        return text.removeprefix(DIGEST)
     return int(text) if number and text is not None else text
 
 
@@ -177,10 +180,14 @@ def records(stream, wanted=lambda headers: True, payload: bool = True) -> Iterat
                 last, _, value = text.partition(":")
                 last = last.strip().lower()
                 headers[last] = value.strip()
+        if not headers.get("content-length", "").isdecimal():
+            raise ValueError("a record without a Content-Length")
         length = int(headers["content-length"])
-        if not payload or not wanted(headers):
-            stream.seek(length, io.SEEK_CUR)
-            if wanted(headers):
+        take = wanted(headers)
+        if not payload or not take:
+            if length and (stream.seek(length - 1, io.SEEK_CUR) is None or len(stream.read(1)) < 1):
+                raise ValueError("the archive ends within a block")
+            if take:
                 yield headers, None
             continue
         block = stream.read(length)
@@ -198,7 +205,7 @@ def _record(row: dict, date: str) -> bytes:
     block = http if revisit else http + body
     headers = {
         "WARC-Type": row["warc_type"], "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>" if revisit or row["page_id"] is None else record_id(row["page_id"]), "WARC-Date": date, "WARC-Target-URI": None if row["target_uri"] is None else quote(row["target_uri"], safe="!#$%&'()*+,/:;=?@[]~"),
-        "WARC-Payload-Digest": row["payload_digest"], "Content-Type": "application/http; msgtype=response", "X-Payload-Bytes": row["payload_bytes"], "X-Page-Id": row["page_id"],
+        "WARC-Payload-Digest": None if row["payload_digest"] is None else DIGEST + row["payload_digest"], "Content-Type": "application/http; msgtype=response", "X-Payload-Bytes": row["payload_bytes"], "X-Page-Id": row["page_id"],
         **({"WARC-Profile": PROFILE, "WARC-Refers-To": record_id(row["refers_to"]), "X-Refers-To-Page": row["refers_to"]} if revisit else {}), "Content-Length": len(block),
     }
     return VERSION + b"\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in headers.items() if v is not None) + b"\r\n" + block + b"\r\n\r\n"
@@ -277,7 +284,11 @@ def write_pages(pages: DataFrame, path: str) -> None:
 
 
 def read_archives(spark, path: str, payload: bool = True) -> DataFrame:
-    """Records of the archives in path, as SCHEMA; predicates on record type and other header columns are tested before payloads are read."""
+    """Records of the archives in path, as SCHEMA; predicates on record type and other header columns are tested before payloads are read.
+
+    Such predicates reach the source once spark.sql.python.filterPushdown.enabled is set, which this does for the session, as plans are made later; without it they
+    are tested after reading, with the same rows.
+    """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
