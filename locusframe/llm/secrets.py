@@ -53,10 +53,8 @@ def training_samples(docs: DataFrame) -> DataFrame:
     n = F.col("id").cast("string")
     digest = F.unhex(F.sha2(n, 256))
     b64 = F.base64(digest)
-    made = spark.range(RANDOM_SAMPLES, numPartitions=1).select(
-        F.when(F.col("id") % 5 == 0, b64).when(F.col("id") % 5 == 1, F.translate(b64, "+/=", "-_")).when(F.col("id") % 5 == 2, F.translate(b64, "+/=", "xK7")).when(F.col("id") % 5 == 3, F.substring(F.sha2(n, 256), 1, 40)).otherwise(F.substring(F.upper(F.translate(b64, "+/=", "Q4Z")), 1, 32)).alias("text"),
-        F.lit(True).alias("random"),
-    )
+    kinds = [b64, F.translate(b64, "+/=", "-_"), F.translate(b64, "+/=", "xK7"), F.substring(F.sha2(n, 256), 1, 40), F.substring(F.upper(F.translate(b64, "+/=", "Q4Z")), 1, 32), F.substring(F.lower(F.translate(b64, "+/=", "q4z")), 1, 32)]
+    made = spark.range(RANDOM_SAMPLES, numPartitions=1).select(F.get(F.array(*kinds), (F.col("id") % len(kinds)).cast("int")).alias("text"), F.lit(True).alias("random"))
     words = F.split(F.lit(WORDS), " ")
     pick = [F.element_at(words, (F.pmod(F.xxhash64(F.lit(i), "id"), F.size(words)) + 1).cast("int")) for i in range(4)]
     take = F.slice(F.array(*pick), 1, (2 + F.col("id") % 3).cast("int"))
