@@ -7,8 +7,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from locusframe.llm import decontaminate, langid, mixing, secrets, sharding
+from locusframe.llm import common, decontaminate, langid, mixing, secrets, sharding
 
 DOCS = "doc_id long, text string, lang string, source string, n_words string, size int"
 
@@ -59,6 +60,47 @@ def test_spans_are_removed_and_empty_tables_pass(spark):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
+def test_spans_are_removed_alike_on_both_ways(spark):
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(12)]
+    items = [(f"i{j}", " ".join(rng.choice(words) for _ in range(n))) for j, n in enumerate([14, 12, 3, 10, 5])] + [("i0", items_text := "w1 w2"), (None, items_text), ("n", None)]
+    texts = [", ".join(rng.choice(words) for _ in range(80)) for _ in range(12)] + [None, "", items[0][1] + "!", "x" * 200_000 + " w1 W2"]
+    docs, bench = _docs(spark, texts), spark.createDataFrame(items, "item_id string, text string")
+    one = [r.text for r in decontaminate.remove_spans(docs, bench).orderBy("doc_id").collect()]
+    assert one == [r.text for r in decontaminate.remove_spans(docs, bench, index_bytes=0).orderBy("doc_id").collect()]
+    assert one[12:15] == [None, "", "!"] and one[15] == "x" * 200_000 + " " and any(a != b for a, b in zip(one[:12], texts))
+
+
+def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
+    monkeypatch.setattr(decontaminate, "_window_hashes", lambda ids, n: ids[: len(ids) - n + 1] << np.uint64(60))
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    items = [(f"i{j}", " ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 9])))) for j in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) + " " + rng.choice(items)[1] for _ in range(20)]
+    index = decontaminate.WindowIndex(items, 3)
+    want = _contamination(texts, items, 3)
+    for d, t in enumerate(texts):
+        hit, found = index.scan(decontaminate.words_of(t))
+        assert (int(hit.sum()), len(found)) == want[d][1:3]
+
+
+def test_grams_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab ü日\u2003,") for _ in range(rng.randrange(1, 40))) for _ in range(200)] + ["", None, "   ", "a", "a" * 70_000]
+    whole = [langid.gram_counts(t) for t in texts]
+    assert whole[-1].max() == 70_000 and not whole[-3].any()
+    for piece in (1, 2, 3, 7):
+        monkeypatch.setattr(langid, "_PIECE", piece)
+        for t, w in zip(texts[:-1], whole):
+            assert (langid.gram_counts(t) == w).all(), (piece, t)
+
+
+def test_language_of_an_empty_table_and_of_clashing_columns(spark):
+    model = langid.fit(spark.createDataFrame([(1, "the house", "en")], "doc_id long, text string, lang string"))
+    odd = spark.createDataFrame([(1, "the house", "x", 3)], "doc_id long, text string, score string, rejected int")
+    assert langid.identify(odd.limit(0), model).count() == 0 and isinstance(langid.identify(odd, model).first().score, float)
+
+
 def test_language_is_learnt_and_oddities_are_rejected(spark):
     rng = random.Random(4)
     words = {"en": ["the", "and", "thing", "house", "with"], "de": ["der", "und", "haus", "schön", "nicht"], "fr": ["les", "être", "maison", "une", "où"]}
@@ -97,6 +139,48 @@ def test_random_strings_are_told_from_identifiers(spark):
     assert got == [1, 0, 0, 1]
 
 
+def test_secrets_of_empty_tables_and_clashing_columns(spark):
+    table = [0.0] * (len(secrets.ALPHABET) * (len(secrets.ALPHABET) + 1))
+    odd = spark.createDataFrame([(1, "token=abcdefghijklmnop", 5, "x")] * 2, "doc_id long, text string, spans int, values string")
+    assert secrets.find_secrets(odd.limit(0), table).count() == 0
+    assert [r.spans for r in secrets.find_secrets(odd, table).collect()] == ["assign:0:22"] * 2
+
+
+def test_random_strings_are_found_with_high_precision_and_recall(spark):
+    """Strings by other rules than the training samples': keys of several alphabets and lengths; names and words of code and prose."""
+    rng = random.Random(99)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"]
+    random_ = ["".join(rng.choice(rng.choice(alphabets[i % 4 : i % 4 + 1])) for _ in range(rng.choice([24, 32, 40, 64]))) for i in range(200)]
+    parts = "window parser remote invoice schedule network customer balance tracking gateway element surface compiler iterator document pressure velocity hospital kitchen mountain reading".split()
+    names = []
+    for i in range(200):
+        take = [rng.choice(parts) for _ in range(rng.choice([3, 4, 5]))]
+        names.append(["_".join(take), "-".join(take), "".join(x.title() for x in take), "_".join(take).upper()][i % 4])
+    docs = _docs(spark, [f"see {x} here" for x in random_ + names])
+    prose = _docs(spark, ["we think that this house has been standing where another river runs through the village under mountains"] * 20)
+    got = [r.n_random > 0 or r.n_hex > 0 for r in secrets.find_secrets(docs, secrets.fit(secrets.training_samples(prose))).orderBy("doc_id").collect()]
+    missed = [x for x, g in zip(random_, got) if not g]
+    caught, wrong = sum(got[:200]), sum(got[200:])
+    assert caught >= 190 and wrong <= 4, (caught, wrong, missed[:20])
+
+
+def test_raking_matches_proportional_fitting_by_hand(spark):
+    rng = np.random.default_rng(4)
+    table = rng.integers(1, 500, (3, 4, 2)).astype(float)
+    rows = [(f"a{i}", f"b{j}", f"c{k}", int(table[i, j, k])) for i in range(3) for j in range(4) for k in range(2)]
+    goals = {"x": [0.2, 0.3, 0.5], "y": [0.1, 0.2, 0.3, 0.4], "z": [0.6, 0.4]}
+    got = mixing.rake(spark.createDataFrame(rows, "x string, y string, z string, tokens long"), ["x", "y", "z"], {d: {f"{n}{i}": g for i, g in enumerate(v)} for (d, v), n in zip(goals.items(), "abc")}).toPandas()
+    w = table / table.sum()
+    for _ in range(500):
+        for axis, goal in enumerate(goals.values()):
+            others = tuple(a for a in range(3) if a != axis)
+            shape = [1, 1, 1]
+            shape[axis] = -1
+            w = w * (np.array(goal) / w.sum(axis=others)).reshape(shape)
+    for r in got.itertuples():
+        assert r.weight == pytest.approx(w[int(r.x[1]), int(r.y[1]), int(r.z[1])], abs=1e-6)
+
+
 def test_raked_margins_meet_their_targets(spark):
     rng = random.Random(6)
     rows = [(f"s{i % 4}", f"l{j}", rng.choice(["a", None]), rng.randrange(1, 1000)) for i in range(4) for j in range(3) for _ in range(2)]
@@ -158,3 +242,12 @@ def test_sharding_keeps_groups_and_numbers_rows(spark):
     loads = got.groupby("shard")["size"].sum()
     assert len(loads) == 7 and loads.max() - loads.min() < 1000
     assert sharding.shard(docs.limit(0)).count() == 0
+
+
+def test_sharding_of_hot_repeated_and_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(common, "HOT_KEYS", 10)
+    rows = [(1, "hot")] * 200 + [(2, "x" * 500_000)] + [(i, f"t{i}") for i in range(100)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").withColumn("slot", F.lit("old")), shards=3).toPandas()
+    assert len(got) == len(rows) and got.groupby("text").shard.nunique().max() == 1
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in got.groupby("shard"))

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import io
 
 import pytest
 
@@ -40,6 +41,22 @@ def test_empty_tables_and_compressed_archives(spark, tmp_path):
         list(warc.records(__import__("io").BytesIO(b"junk\r\n")))
 
 
+def test_broken_records_raise_and_digests_bear_a_label():
+    records = lambda raw, **how: list(warc.records(io.BytesIO(raw), **how))
+    record = warc._record({"warc_type": "response", "target_uri": "u", "payload_digest": "ab12", "payload_bytes": 4, "page_id": 1, "refers_to": None, "payload": b"body"}, "2020-01-01T00:00:00Z")
+    assert b"WARC-Payload-Digest: sha256:ab12\r\n" in record and warc._value(records(record)[0][0], "payload_digest") == "ab12"
+    for raw, how in ((record.replace(b"Content-Length: 7", b"X: 7").replace(b"\r\nContent-Length: ", b"\r\nY: "), {}), (record[:-8], {}), (record[:-8], {"payload": False}), (record[:-8], {"wanted": lambda h: False})):
+        with pytest.raises(ValueError):
+            records(raw, **how)
+
+
+def test_a_very_long_payload_goes_round(spark):
+    path, long = new_path(spark, "warc-long"), "<p>é</p>" * 2_000_000
+    warc.write_pages(spark.createDataFrame([(1, "u", long, "c"), (2, "u", long, "c")], PAGES), path)
+    got = {r.page_id: (r.warc_type, r.payload_bytes, r.n) for r in warc.read_archives(spark, path).selectExpr("page_id", "warc_type", "payload_bytes", "length(payload) as n").collect()}
+    assert got == {1: ("response", 18_000_000, 18_000_000), 2: ("revisit", 18_000_000, 0)}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=x>Menu</a></li></ul></nav>
 <!-- <p>no</p> --><script>var a = "<p>no</p>";</script><div class="cookie-notice"><p>no</p></div><article><h1>Head &amp; &eacute;</h1><p>One<br>two   three</p><div class='ad'>no</div>
 <p>Short.<p>1 &lt; 2 <b>bold</b> <form>no<input></form><blockquote>Quoted</blockquote><ul><li>item <a href="/y">link</a></li></ul><section class="comments"><p>no</p></section></article><aside>no</aside><footer>no</footer></body></html>"""

@@ -34,5 +34,20 @@ def test_stages_take_effect_and_keep_columns(spark, tmp_path):
     assert set(final.doc_id) == seen[4] and final.shard.between(0, 39).all()
 
 
+def test_stages_bear_odd_rows_and_empty_tables(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, mark string, node int, topic string, shard string"
+    text = "the house and the thing with that from over there again and again under these"
+    rows = [(1, text, None, None, None, "c", 1, "t", "s")] * 2 + [(None, text, "en", "s", 1, "c", 1, "t", "s"), (2, None, "en", "s", 1, "c", 1, "t", "s"), (3, "", "en", "s", 1, "c", 1, "t", "s"), (4, (text + " ") * 5000, "en", "s", 1, "c", 1, "t", "s")]
+    for name, data, bench in (("odd", rows, [("b", "nothing of this"), (None, None)]), ("empty", [], [])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(data, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(bench, "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        out = corpus_pipeline.run(spark, sf)
+        got = out.select("doc_id", "text", "shard", "slot").collect()
+        assert len(got) <= len(data) and {r.doc_id for r in got} <= {1, None, 4}
+        assert name == "empty" or len(got) > 0
+
+
 def test_each_operator_is_registered():
     assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
