@@ -82,10 +82,12 @@ def split_join(rows: DataFrame, table: DataFrame, on: str, total: int, most: int
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of a few rows, so that what a task makes of its texts is small however large a batch is."""
+    """The batches in pieces of a few rows, so that what a task makes of its texts is small however large a batch is. Workers outlive their tasks, so what is free goes back."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+        del b
+        pa.default_memory_pool().release_unused()
 
 
 def partitions_for(spark: SparkSession) -> int:
