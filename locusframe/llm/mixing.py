@@ -37,7 +37,8 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None = No
 
     A dimension's targets are given as {value: share}, normed to the values that have tokens (others get none), or follow
     from powers as (token share) ** power, 1 where none is given. Null is a value of its own. Cells without tokens get
-    weight 0. Raises ValueError if the margins don't settle, as when targets contradict empty cells.
+    weight 0. Margins that can't all be met, as where empty cells bind them to each other: targets that were given raise ValueError; those that follow from powers
+    give the table of the last sweep once sweeps bring it no nearer, in which the last dimension's margins hold. An empty table gives an empty one.
     """
     powers = {**{d: 1.0 for d in dims}, **(powers or {})}
     cells = materialize(cells.where("tokens > 0").select(*dims, F.col("tokens").cast("double").alias("tokens")), "cells")
@@ -52,6 +53,7 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None = No
     if sums[dims[0]] is None:
         return cells.withColumn("weight", F.lit(0.0))
     out = out.select(*dims, "tokens", *[(F.col(f"__goal_{d}") / F.lit(sums[d])).alias(f"__goal_{d}") for d in dims], (F.col("tokens") / F.lit(cells.agg(F.sum("tokens")).first()[0])).alias("weight"))
+    before = float("inf")
     for _ in range(max_rounds):
         for d in dims * SWEEPS:
             total = F.sum("weight").over(Window.partitionBy(d))
@@ -60,8 +62,11 @@ def rake(cells: DataFrame, dims: list[str], targets: dict[str, dict] | None = No
         out = out.coalesce(1) if one else out
         off = [F.abs(F.sum("weight").over(Window.partitionBy(d)) - F.col(f"__goal_{d}")).alias(f"__off_{d}") for d in dims]
         worst = out.select(*off).agg(F.max(F.greatest(*[f"__off_{d}" for d in dims], F.lit(0.0)))).first()[0]
-        if worst < TOLERANCE:
+        if worst < TOLERANCE or (not targets and worst > 0.99 * before):
             return out.select(*dims, "tokens", "weight")
+        before = worst
+    if not targets:
+        return out.select(*dims, "tokens", "weight")
     raise ValueError(f"margins are off by {worst:g} after {max_rounds * SWEEPS} sweeps: the targets contradict each other")
 
 
