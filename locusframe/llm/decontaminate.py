@@ -193,10 +193,24 @@ def _contamination_by_join(docs: DataFrame, benchmark: DataFrame, size: int) ->
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
-    """docs (text, others) without contaminated documents, in docs' own columns. Null and wordless texts stay; an empty benchmark drops nothing."""
-    found = contamination(docs.withColumn("__in", F.struct(*docs.columns)).select("__in", "text"), benchmark, size)
-    return found.where("not contaminated").select("__in.*")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, size: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """docs (text, others) without contaminated documents, in docs' own columns. Null and wordless texts stay; an empty benchmark drops nothing.
+
+    The window set is broadcast while the benchmark is within index_bytes; a larger one is joined by shuffle.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    index = _small_index(items, size, index_bytes)
+    if index is None:
+        found = _contamination_by_join(docs.select(F.struct(*docs.columns).alias("__in"), "text"), items, size)
+        return found.where("not contaminated").select("__in.*")
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([not shared.value.scan(words_of(t.as_py()))[0].any() for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, size: int = 10, index_bytes: int = INDEX_BYTES) -> DataFrame:

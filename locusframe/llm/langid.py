@@ -181,8 +181,14 @@ def fold() -> Column:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without those that language identification rejects, in docs' own columns."""
-    found = identify(docs.select(F.struct(*docs.columns).alias("__in"), "text"), fit(docs))
-    return found.where("not rejected").select("__in.*")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
+    at = docs.columns.index("text")
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield b.filter(pa.array([not shared.value.predict(t.as_py())[2] for t in b.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(known, docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

@@ -57,6 +57,10 @@ def test_spans_are_removed_and_empty_tables_pass(spark):
     assert [r.text for r in decontaminate.remove_spans(docs, bench).orderBy("doc_id").collect()] == ["é, ! four", "one two", None]
     assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).orderBy("doc_id").collect()] == [1, 2]
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 3
+    odd = docs.withColumn("n_words", F.lit("theirs")).withColumn("contaminated", F.lit(None).cast("boolean"))
+    both = [decontaminate.decontaminate(odd, bench, index_bytes=limit) for limit in (decontaminate.INDEX_BYTES, 0)]
+    assert all(x.columns == odd.columns and sorted((r.doc_id, r.n_words, r.contaminated) for r in x.collect()) == [(1, "theirs", None), (2, "theirs", None)] for x in both)
+    assert decontaminate.decontaminate(odd.limit(0), bench).count() == 0
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0
 
 
