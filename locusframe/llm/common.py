@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import re
 import uuid
@@ -88,6 +89,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
             yield b.slice(at, rows)
         del b
         pa.default_memory_pool().release_unused()
+        _trim_heap()
+
+
+def _trim_heap() -> None:
+    """Hands free pages of the C heap back to the system, where its library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def partitions_for(spark: SparkSession) -> int:
