@@ -332,7 +332,7 @@ _FIXED = "ranked as (select *, count(*) over (partition by contig, pos, name) as
 
 @query("pileup_pair_fix", f"{_PILE}, {_FIXED} select contig, cast(sum(qual) as bigint) as qual_sum, count(*) filter (where qual = 0) as n_zero from fixed group by contig")
 def pair_fix(spark, sf_dir):
-    return pileup.fix_overlapping_pairs(_pile(spark, sf_dir)).groupBy("contig").agg(F.sum("qual").alias("qual_sum"), F.count_if(F.col("qual") == 0).alias("n_zero"))
+    return pileup.fixed_totals(pileup.passing(fx.reads(spark, sf_dir)), "contig", drop_refused=True)
 
 
 # --- likelihoods and annotations

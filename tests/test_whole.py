@@ -2,7 +2,9 @@
 
 import re
 
-from locusframe.operators import intervals
+from pyspark.sql import functions as F
+
+from locusframe.operators import intervals, pileup
 from locusframe.plans import fixtures as fx
 from locusframe.plans import queries as core
 
@@ -68,3 +70,15 @@ def test_pileups_without_sql_hold_every_read_that_the_operator_accepts(spark, tm
         n[0] += sum(q for q in quals if q is not None)
         n[1] += quals.count(0)
     assert {r.contig: [r.qual_sum, r.n_zero] for r in core.QUERIES["pileup_pair_fix"](spark, sf).collect()} == sums
+
+
+def test_pair_totals_equal_the_pairs_fixed_element_by_element(spark, tmp_path):
+    lines = (1, 2, 4, 5, 7, 10, 13)
+    rows = [(k, 20 + k * 3 % 70 - 14 * c, k % 5, lines[k % 7] + 5 * c, 1.0 + k % 50) for k in range(1, 200) for c in range(1 + k % 3)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    sf = str(tmp_path)
+    plain = pileup.fix_overlapping_pairs(core._pile(spark, sf)).groupBy("contig").agg(F.sum("qual").alias("qual_sum"), F.count_if(F.col("qual") == 0).alias("n_zero"))
+    want = sorted(map(tuple, plain.collect()))
+    reads = pileup.passing(fx.reads(spark, sf))
+    for bounds in ({}, {"broadcast_names": 0}, {"broadcast_cigars": 0}):
+        assert sorted(map(tuple, pileup.fixed_totals(reads, "contig", drop_refused=True, **bounds).collect())) == want
