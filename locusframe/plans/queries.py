@@ -208,7 +208,7 @@ def _spans(spark, sf_dir):
 
 @query("intervals_overlap_join", f"{_READS}, {_IV} select iv_id, count(*) as n_reads, cast(sum(mapq) as bigint) as mapq_sum from r join iv on r.contig = iv.contig and r.start_pos <= iv.e and iv.s <= r.end_pos where not um group by iv_id")
 def overlap_join(spark, sf_dir):
-    return intervals.overlap_join(_spans(spark, sf_dir), fx.intervals(spark, sf_dir)).groupBy(F.col("r_iv_id").alias("iv_id")).agg(F.count(F.lit(1)).alias("n_reads"), F.sum("mapq").alias("mapq_sum"))
+    return intervals.overlap_totals(_spans(spark, sf_dir), fx.intervals(spark, sf_dir), ("iv_id",), ("mapq",)).toDF("iv_id", "n_reads", "mapq_sum")
 
 
 @query("intervals_semi_join", f"{_READS}, {_IV}, {_M} select contig, count(*) as n from r where not um and exists (select 1 from m where m.contig = r.contig and r.start_pos <= m.e and m.s <= r.end_pos) group by contig")

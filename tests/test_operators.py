@@ -158,6 +158,30 @@ def test_interval_algebra_against_sets_of_positions(spark):
             assert intervals.overlap_join(a, b, "left", width, small).count() == len(hits) + sum(all(h[0] is not x for h in hits) for x in rows_a)
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_overlap_totals_equal_the_pairs_without_making_them(spark, small):
+    rnd = random.Random(3)
+    reads = [(rnd.choice(["a", "b", None]), s := rnd.randint(-40_000, 40_000), s + rnd.choice([-1, 0, 5, 300, 20_000]), rnd.choice([None, 3, 60])) for _ in range(300)]
+    spans = [(i % 90, rnd.choice(["a", "b", "c"]), s := rnd.randint(-40_000, 40_000), s + rnd.choice([0, 1, 40, 9_000, -1, -30])) for i in range(150)]
+    left = spark.createDataFrame(reads, "contig string, start int, end int, mapq int")
+    right = spark.createDataFrame(spans, "id int, contig string, start int, end int")
+    want = {}
+    for i, c, s, e in spans:
+        for contig, start, end, mapq in reads:
+            if contig == c and start <= e and s <= end:
+                want.setdefault(i, []).append(mapq)
+    want = {(i, len(q), sum(x for x in q if x is not None) if any(x is not None for x in q) else None) for i, q in want.items()}
+    out = intervals.overlap_totals(left, right, ("id",), ("mapq",), small)
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 50
+    assert intervals.overlap_totals(left, right.limit(0), ("id",), ("mapq",), small).count() == 0
+    # a thousand times a thousand rows at one place: no join makes their pairs
+    many = spark.range(1000).select(F.lit("a").alias("contig"), F.lit(1).alias("start"), F.lit(50).alias("end"), F.lit(2).alias("mapq"), "id")
+    plan = intervals.overlap_totals(many, many, ("id",), ("mapq",), small)
+    assert {(r.n, r.sum_mapq) for r in plan.collect()} == {(1000, 2000)} and plan.count() == 1000
+    with pytest.raises(Exception, match="ends before its start"):
+        intervals.overlap_totals(spark.createDataFrame([("a", 9, 5, 1)], left.schema), right, ("id",), ("mapq",)).collect()
+
+
 def test_overlap_joins_have_no_nested_loop(spark):
     a = spark.createDataFrame([("chr1", 1, 5)], "contig string, start int, end int")
     for how in ("inner", "left_semi"):
